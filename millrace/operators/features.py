@@ -64,22 +64,30 @@ def collect_stats(stats: DataFrame, cols: Sequence[str]) -> dict[str, tuple[floa
     return {c: (row[f"mean_{c}"], row[f"std_{c}"]) for c in cols}
 
 
-def zscores(cols: Sequence[str], stats: DataFrame | Stats) -> list[Column]:
+def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds the one-row ``stats`` as struct column ``_stats``.
+
+    A scalar subquery computes the row once and turns it into a constant of the plan: no join, and
+    one subquery however many columns use it.
+    """
+    return df.withColumn("_stats", stats.select(F.struct(*stats.columns)).scalar())
+
+
+def zscores(cols: Sequence[str], stats: Stats | None = None) -> list[Column]:
     """``(x - mean) / std`` per column, 0.0 where the column is constant.
 
-    A statistics DataFrame enters as one scalar subquery shared by all columns: the row is computed
-    once and becomes a constant of the plan, with no join. Plain numbers (of an earlier run) make
-    the result usable on streaming frames.
+    Without ``stats`` the frame must carry the column of :func:`with_stats`. Plain numbers (of an
+    earlier run) make the result usable on streaming frames.
     """
-    if isinstance(stats, DataFrame):
-        names = [f"{kind}_{c}" for c in cols for kind in ("mean", "std")]
-        row = stats.select(F.struct(*names).alias("stats")).scalar()
-        pairs = [(row[f"mean_{c}"], row[f"std_{c}"]) for c in cols]
-    else:
-        pairs = [(F.lit(float(stats[c][0])), F.lit(float(stats[c][1]))) for c in cols]
+
+    def pair(c: str) -> tuple[Column, Column]:
+        if stats is None:
+            return F.col(f"_stats.mean_{c}"), F.col(f"_stats.std_{c}")
+        return F.lit(float(stats[c][0])), F.lit(float(stats[c][1]))
+
     return [
         F.when(std == 0.0, 0.0).otherwise((F.col(c).cast("double") - mean) / std)
-        for c, (mean, std) in zip(cols, pairs)
+        for c, (mean, std) in ((c, pair(c)) for c in cols)
     ]
 
 
@@ -140,7 +148,10 @@ def prepare(
     transformation. Given ``stats`` there is no first pass and ``df`` may be a stream.
     """
     filled = impute_zero(df, int_cols)
-    stats = column_stats(filled, int_cols, n) if stats is None else stats
+    if stats is None:
+        stats = column_stats(filled, int_cols, n)
+    if isinstance(stats, DataFrame):
+        filled, stats = with_stats(filled, stats), None
     hashers = {"arrow": hashed_entries, "native": hashed_entries_native}
     if engine not in hashers:
         raise ValueError(f"unknown engine: {engine}")

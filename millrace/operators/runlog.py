@@ -1,8 +1,9 @@
 """Run-time summaries over ``experiment(id, suite, name)`` and
 ``experiment_run(experiment_id, run, time)``, times in milliseconds.
 
-Runs are reduced to one row per experiment before they meet the experiments. So the join moves no
-raw runs, and an experiment that holds a third of all runs costs one row like any other.
+All summaries come from one table of (suite, name, time) counts. It is the only shuffle that sees
+the runs: tasks add up equal times first, and the time in its key spreads an experiment that holds a
+third of all runs.
 """
 
 from __future__ import annotations
@@ -11,92 +12,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_BITS = 16
-
-
-def _experiments(experiment: DataFrame, suite: str | None) -> DataFrame:
-    picked = experiment if suite is None else experiment.filter(F.col("suite") == suite)
-    return picked.select("id", "suite", "name")
+# Bin of runs without a time: below every bin of a real one.
+NO_TIME_BIN = -(1 << 63)
+GROUP = ["suite", "name"]
 
 
 def _join(experiment: DataFrame, runs: DataFrame, suite: str | None) -> DataFrame:
-    """Inner join on the experiment id; Spark picks the strategy from the measured sizes."""
-    known = _experiments(experiment, suite)
-    return runs.join(known, runs["experiment_id"] == known["id"]).drop("id")
-
+    """Inner join on the experiment id.
 
-def _per_experiment(run: DataFrame) -> DataFrame:
-    time = F.col("time")
-    return run.groupBy("experiment_id").agg(
-        F.min(time).alias("lo"),
-        F.max(time).alias("hi"),
-        F.sum(time).alias("total"),
-        F.count(time).alias("timed"),
-        F.count("*").alias("runs"),
-    )
+    Spark broadcasts the experiments while their measured size allows it and otherwise sorts and
+    merges, splitting an oversized experiment's runs (adaptive skew join).
+    """
+    known = experiment if suite is None else experiment.filter(F.col("suite") == suite)
+    known = known.select("id", "suite", "name")
+    return runs.join(known, runs["experiment_id"] == known["id"]).drop("id")
 
 
-def median_by(df: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
-    """Exact median per group of a BIGINT ``value`` that occurs ``count`` times.
+def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
+    """By (suite, name): ``lo, hi, total, median`` of the times, ``timed`` and ``runs`` counts.
 
-    Two rounds of counting instead of one list of all values per group. The first counts by coarse
-    bin (the value without its low 16 bits) and finds the bins with the middle ranks; the second
-    looks only into those. So a group's windows see at most 65,536 counts each while the values of
-    the group span less than 2^32 (49 days in ms), however many rows it has; a wider span only makes
-    the first window longer, and that one spills.
+    The exact median takes two rounds of counting instead of a list of all values per group. The
+    first counts by coarse bin (the time without its low 16 bits) and finds the bins of the middle
+    ranks; the second looks only into those. So a group's windows see at most 65,536 counts each
+    while its times span less than 2^32 (49 days in ms), however many runs it has; a wider span only
+    makes the first window longer, and that one spills.
     """
-    high = F.shiftright(F.col(value), BIN_BITS)
-    bins = (
-        df.withColumn("_bin", high).groupBy(*keys, "_bin").agg(F.sum(count).alias("_n"))
+    joined = _join(experiment, run.select("experiment_id", "time"), suite)
+    bin_of = F.coalesce(F.shiftright("time", BIN_BITS), F.lit(NO_TIME_BIN)).alias("bin")
+    counts = joined.groupBy(*GROUP, "time").agg(F.count("*").alias("c")).select(
+        *GROUP, F.col("time").cast("bigint").alias("time"), bin_of, "c"
+    )
+    timed = F.when(F.col("time").isNotNull(), F.col("c")).otherwise(0)
+    bins = counts.groupBy(*GROUP, "bin").agg(
+        F.min("time").alias("lo"),
+        F.max("time").alias("hi"),
+        F.sum(F.col("time") * F.col("c")).alias("total"),
+        F.sum(timed).alias("timed"),
+        F.sum("c").alias("runs"),
     )
-    running = Window.partitionBy(*keys).orderBy("_bin")
-    total = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*GROUP)
+    upto = F.sum("timed").over(whole.orderBy("bin"))
     ranked = bins.select(
-        *keys,
-        "_bin",
-        (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(running).alias("_upto"),
-        F.sum("_n").over(total).alias("_all"),
+        *GROUP,
+        "bin",
+        (upto - F.col("timed")).alias("before"),
+        upto.alias("upto"),
+        F.min("lo").over(whole).alias("lo"),
+        F.max("hi").over(whole).alias("hi"),
+        F.sum("total").over(whole).alias("total"),
+        F.sum("timed").over(whole).alias("timed"),
+        F.sum("runs").over(whole).alias("runs"),
     )
     # 0-based ranks of the two middle elements; equal for an odd count
-    lower = F.shiftright(F.col("_all") - 1, 1)
-    upper = F.shiftright(F.col("_all"), 1)
+    lower, upper = F.shiftright(F.col("timed") - 1, 1), F.shiftright("timed", 1)
 
     def holds(rank):
-        return (F.col("_before") <= rank) & (rank < F.col("_upto"))
-
-    middle = ranked.filter(holds(lower) | holds(upper)).select(*keys, "_bin", "_before", "_all")
-    fine = (
-        df.withColumn("_bin", high)
-        .join(middle, [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_before", "_all", value)
-        .agg(F.sum(count).alias("_n"))
+        return (F.col("before") <= rank) & (rank < F.col("upto"))
+
+    middle = ranked.filter(holds(lower) | holds(upper) | (F.col("timed") == 0)).drop("upto")
+    # The middle bins of a group are neighbours, so one running count passes through both.
+    values = counts.select(*GROUP, "bin", "time", "c").join(middle, [*GROUP, "bin"])
+    reached = F.min("before").over(whole) + F.sum("c").over(whole.orderBy("bin", "time"))
+    placed = values.withColumn("upto", reached).withColumn("before", F.col("upto") - F.col("c"))
+    picked = [F.max(F.when(holds(r), F.col("time"))).cast("double") for r in (lower, upper)]
+    return placed.groupBy(*GROUP).agg(
+        *[F.max(c).alias(c) for c in ("lo", "hi", "total", "timed", "runs")],
+        ((picked[0] + picked[1]) / 2).alias("median"),
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value)
-    placed = fine.select(
-        *keys,
-        value,
-        "_all",
-        (F.col("_before") + F.sum("_n").over(inside)).alias("_upto"),
-        (F.col("_before") + F.sum("_n").over(inside) - F.col("_n")).alias("_before"),
-    )
-    return placed.groupBy(*keys).agg(
-        (
-            F.max(F.when(holds(lower), F.col(value))).cast("double")
-            + F.max(F.when(holds(upper), F.col(value))).cast("double")
-        ).alias("_twice")
-    ).select(*keys, (F.col("_twice") / 2).alias("median"))
-
-
-def _medians(experiment: DataFrame, run: DataFrame, suite: str | None) -> DataFrame:
-    """Median time by (suite, name), in milliseconds."""
-    counted = (
-        run.filter(F.col("time").isNotNull())
-        .groupBy("experiment_id", "time")
-        .agg(F.count("*").alias("_c"))
-    )
-    joined = _join(experiment, counted, suite)
-    distinct = joined.groupBy("suite", "name", "time").agg(F.sum("_c").alias("_c"))
-    return median_by(distinct, ["suite", "name"], "time", "_c")
 
 
 def summary(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
@@ -104,41 +86,28 @@ def summary(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
 
     ``sum_minus_extremes`` is the median of exactly three runs; ``median`` is one for any number.
     """
-    merged = (
-        _join(experiment, _per_experiment(run), suite)
-        .groupBy("suite", "name")
-        .agg(
-            F.min("lo").alias("min_time"),
-            F.max("hi").alias("max_time"),
-            (F.sum("total") - F.min("lo") - F.max("hi")).alias("sum_minus_extremes"),
-        )
-    )
-    return merged.join(_medians(experiment, run, suite), ["suite", "name"], "left").orderBy(
-        "suite", "name"
-    )
+    return profile(experiment, run, suite).select(
+        "suite",
+        "name",
+        F.col("lo").alias("min_time"),
+        F.col("hi").alias("max_time"),
+        (F.col("total") - F.col("lo") - F.col("hi")).alias("sum_minus_extremes"),
+        "median",
+    ).orderBy("suite", "name")
 
 
 def stats(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
     """Average, median, maximum, minimum (seconds) and number of runs by (name, suite)."""
-    mean = F.sum("total") / F.sum("timed")
-    merged = (
-        _join(experiment, _per_experiment(run), suite)
-        .groupBy("name", "suite")
-        .agg(
-            F.round(mean / 1000.0, 2).cast("decimal(18,2)").alias("average"),
-            (F.max("hi") / 1000.0).alias("max"),
-            (F.min("lo") / 1000.0).alias("min"),
-            F.sum("runs").alias("number_of_runs"),
-        )
-    )
-    medians = _medians(experiment, run, suite).select(
-        "name", "suite", (F.col("median") / 1000.0).alias("median")
-    )
-    return (
-        merged.join(medians, ["name", "suite"], "left")
-        .select("name", "suite", "average", "median", "max", "min", "number_of_runs")
-        .orderBy("name", "suite")
-    )
+    mean = F.try_divide(F.col("total"), F.col("timed"))
+    return profile(experiment, run, suite).select(
+        "name",
+        "suite",
+        F.round(mean / 1000.0, 2).cast("decimal(18,2)").alias("average"),
+        (F.col("median") / 1000.0).alias("median"),
+        (F.col("hi") / 1000.0).alias("max"),
+        (F.col("lo") / 1000.0).alias("min"),
+        F.col("runs").alias("number_of_runs"),
+    ).orderBy("name", "suite")
 
 
 def listing(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.uniform import keyed_digest, keyed_uniform
@@ -52,37 +54,29 @@ def poisson_steps(mean: float) -> list[float]:
     return steps
 
 
-def poisson_count(mean: float, key: Column, seed: int) -> Column:
-    """Poisson draw per key by inverting the cumulative distribution.
+def sample_poisson(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+    """Sample with replacement: each row appears Poisson(fraction) times, decided by its key.
 
-    A sum of independent Poisson draws is Poisson, so a large mean is drawn in parts.
+    The count inverts the cumulative distribution at a keyed uniform. A sum of independent Poisson
+    draws is Poisson, so a large fraction is drawn in parts.
     """
-    parts = [POISSON_PART] * int(mean // POISSON_PART)
-    parts += [mean - POISSON_PART * len(parts)]
-    total = F.lit(0)
-    for i, part in enumerate(p for p in parts if p > 0):
-        salted = F.concat(key.cast("string"), F.lit(f"#{i}"))
-        u = keyed_uniform(seed, salted)
-        steps = F.array(*[F.lit(s) for s in poisson_steps(part)])
-        total = total + F.size(F.filter(steps, lambda s: s <= u))
-    return total
-
-
-def sample_poisson(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Sample with replacement: each row appears Poisson(fraction) times, decided by its key."""
     if fraction < 0:
         raise ValueError("fraction must not be negative")
     if fraction == 1.0:
         return df
     if fraction == 0.0:
         return df.filter(F.lit(False))
-    copies = F.sequence(F.lit(1), F.col("_copies"))
-    return (
-        df.withColumn("_copies", poisson_count(fraction, F.col(key), seed))
-        .filter("_copies > 0")
-        .withColumn("_copies", F.explode(copies))
-        .drop("_copies")
-    )
+    parts = [POISSON_PART] * int(fraction // POISSON_PART)
+    parts += [p for p in [fraction - POISSON_PART * len(parts)] if p > 0]
+    uniforms = {
+        f"_u{i}": keyed_uniform(seed, F.concat(F.col(key).cast("string"), F.lit(f"#{i}")))
+        for i in range(len(parts))
+    }
+    reached = [
+        (F.col(u) >= step).cast("int") for u, p in zip(uniforms, parts) for step in poisson_steps(p)
+    ]
+    copies = F.explode(F.array_repeat(F.lit(True), functools.reduce(operator.add, reached)))
+    return df.withColumns(uniforms).select(*df.columns, copies.alias("_copy")).drop("_copy")
 
 
 def sample_with_replacement(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

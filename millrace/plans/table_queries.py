@@ -2,6 +2,9 @@
 
 ``embeddings`` stands in for points, ``events`` for the click log, ``part`` and ``lineitem`` for
 experiments and their runs, ``orders`` and ``part`` for row ids of generated data.
+
+Arrays computed in Arrow are exploded as expressions or with the outer form: on a plain array column
+Spark adds a "not empty" filter and pushes it down, which would run the Python step twice.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing, uniform, vectors
 from millrace.operators import datagen, features, kmeans, nearest, runlog, sampling
 from millrace.plans import scratch
-from millrace.sources import clicklog, dense, libsvm
+from millrace.sources import clicklog, dense, libsvm, parallelism
 from millrace.sources.clicklog import CAT_COLS, INT_COLS, LABEL
 
 K = 5
@@ -80,7 +83,10 @@ def _init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").selectExpr(*CLICKLOG_COLUMNS)
+    events = _table(spark, sf_dir, "events")
+    return parallelism.at_least(events, spark.sparkContext.defaultParallelism).selectExpr(
+        *CLICKLOG_COLUMNS
+    )
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,21 +221,13 @@ def signed_hash_murmur3(spark, sf_dir):
 def hash_collisions(spark, sf_dir):
     tokens = features.category_tokens(CAT_COLS)
     entries = hashing.hashed_entries(tokens, BUCKETS)
-    return (
-        _clicklog(spark, sf_dir)
-        .select("event_id", entries.alias("entries"))
-        .select("event_id", F.inline("entries"))
-    )
+    return _clicklog(spark, sf_dir).select("event_id", F.inline(entries))
 
 
 def hash_collisions_drop(spark, sf_dir):
     tokens = features.category_tokens(CAT_COLS, missing="drop")
     entries = hashing.hashed_entries(tokens, BUCKETS)
-    return (
-        _clicklog(spark, sf_dir)
-        .select("event_id", entries.alias("entries"))
-        .select("event_id", F.inline("entries"))
-    )
+    return _clicklog(spark, sf_dir).select("event_id", F.inline(entries))
 
 
 def binarize_label(spark, sf_dir):
@@ -240,8 +238,9 @@ def binarize_label(spark, sf_dir):
 
 def zscore(spark, sf_dir):
     filled = features.impute_zero(_clicklog(spark, sf_dir), INT_COLS)
-    scores = features.zscores(INT_COLS, features.column_stats(filled, INT_COLS))
-    return filled.select(
+    known = features.with_stats(filled, features.column_stats(filled, INT_COLS))
+    scores = features.zscores(INT_COLS)
+    return known.select(
         "event_id", *[(F.round(z, 6) + 0.0).alias(f"z{j}") for j, z in enumerate(scores, start=1)]
     )
 
@@ -249,11 +248,7 @@ def zscore(spark, sf_dir):
 def assemble_sparse(spark, sf_dir):
     ready = _prepared(spark, sf_dir)
     vector = features.assemble(features.numeric_columns(len(INT_COLS)), F.col("hashed"))
-    return (
-        ready.select("event_id", vector.alias("v"))
-        .select("event_id", F.inline("v"))
-        .select("event_id", "idx", _rounded("val"))
-    )
+    return ready.select("event_id", F.inline(vector)).select("event_id", "idx", _rounded("val"))
 
 
 def _neighbours(spark, sf_dir):
@@ -421,7 +416,7 @@ def _part_centers(spark, sf_dir):
 
 def gen_centers(spark, sf_dir):
     return _part_centers(spark, sf_dir).select(
-        "p_partkey", F.posexplode("center").alias("dim", "x")
+        "p_partkey", F.posexplode_outer("center").alias("dim", "x")
     ).select("p_partkey", (F.col("dim") + 1).alias("dim"), _rounded("x"))
 
 
@@ -436,7 +431,7 @@ def _generated(spark, sf_dir):
 
 def gen_points(spark, sf_dir):
     return _generated(spark, sf_dir).select(
-        "o_orderkey", "true_cid", F.posexplode("features").alias("dim", "x")
+        "o_orderkey", "true_cid", F.posexplode_outer("features").alias("dim", "x")
     ).select("o_orderkey", "true_cid", (F.col("dim") + 1).alias("dim"), _rounded("x"))
 
 

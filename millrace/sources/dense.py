@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _read_lines(spark: SparkSession, path: str, partitions: int | None) -> DataFrame:
-    lines = spark.read.text(path)
-    return lines if partitions is None else lines.repartition(partitions)
+from millrace.sources.parallelism import at_least
 
 
 def parse_points(lines: DataFrame) -> DataFrame:
@@ -29,8 +26,9 @@ def parse_indexed_centers(lines: DataFrame) -> DataFrame:
 
 
 def read_points(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """``features`` per line; ``partitions`` redistributes the lines, by default files decide."""
-    return parse_points(_read_lines(spark, path, partitions))
+    """``features`` per line, in at least ``partitions`` parts if given."""
+    lines = spark.read.text(path)
+    return parse_points(lines if partitions is None else at_least(lines, partitions))
 
 
 def read_centers(spark: SparkSession, path: str) -> DataFrame:
