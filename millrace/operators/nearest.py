@@ -22,7 +22,8 @@ from millrace.plans.scratch import write_and_read
 
 NO_CENTER = -1
 LARGEST = np.finfo(np.float64).max
-TILE_CELLS = 1 << 20
+TILE_CELLS = 1 << 17
+ONE_HOT_CENTERS = 256
 NEAREST_TYPE = "struct<sqdist:double,cid:int>"
 
 
@@ -92,11 +93,13 @@ def _search_all(x: np.ndarray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
     return best, at
 
 
-def _search_tile(x: np.ndarray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
+def _search_tile(
+    x: np.ndarray, model: Centers, distances: bool
+) -> tuple[np.ndarray | None, np.ndarray]:
     """Exact nearest center, found by one matrix product and a recheck of near ties.
 
     ``|x|² - 2x·c + |c|²`` cancels, so it only screens: a center survives if rounding could put it
-    first. Rows with one survivor are decided, the others compare exact distances. The returned
+    first. Rows with one survivor are decided, the others compare exact distances. A returned
     distance is always the exact one.
     """
     c = model.matrix
@@ -111,28 +114,37 @@ def _search_tile(x: np.ndarray, model: Centers) -> tuple[np.ndarray, np.ndarray]
     survivors = screen <= (low + slack)[:, None]
     at = survivors.argmax(axis=1)
     unsure = np.flatnonzero((survivors.sum(axis=1) != 1) | ~(scale < LARGEST / 8))
-    best = _exact(x, c[at])
+    best = _exact(x, c[at]) if distances else None
     if len(unsure):
-        best[unsure], at[unsure] = _search_all(x[unsure], model)
+        rechecked, at[unsure] = _search_all(x[unsure], model)
+        if distances:
+            best[unsure] = rechecked
     return best, at
 
 
-def search(x: np.ndarray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
+def _tiles(x: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Row slices whose working matrices stay in the processor cache."""
+    rows = max(1, TILE_CELLS // max(k, x.shape[1], 1))
+    for i in range(0, len(x), rows):
+        yield x[i : i + rows]
+
+
+def search(
+    x: np.ndarray, model: Centers, distances: bool = True
+) -> tuple[np.ndarray | None, np.ndarray]:
     """Squared distance and *position* of the nearest center; ties go to the smallest id.
 
-    Position is ``NO_CENTER`` for a point that compares with no center (NaN, infinite).
+    Position is ``NO_CENTER`` for a point that compares with no center (NaN, infinite). Without
+    ``distances`` only positions are worked out.
     """
-    k, d = model.matrix.shape
-    if k == 0:
+    k = len(model.ids)
+    if k == 0 or not len(x):
         return np.full(len(x), LARGEST), np.full(len(x), NO_CENTER, np.int64)
     with np.errstate(over="ignore", invalid="ignore"):
         if not np.isfinite(np.einsum("ij,ij->i", model.matrix, model.matrix)).all():
             return _search_all(x, model)
-        tile = max(1, TILE_CELLS // max(k, d))
-        parts = [_search_tile(x[i : i + tile], model) for i in range(0, len(x), tile)]
-    if not parts:
-        return np.zeros(0), np.zeros(0, np.int64)
-    return tuple(np.concatenate(p) for p in zip(*parts))
+        best, at = zip(*(_search_tile(tile, model, distances) for tile in _tiles(x, k)))
+    return (np.concatenate(best) if distances else None), np.concatenate(at)
 
 
 def _ids(at: np.ndarray, model: Centers) -> np.ndarray:
@@ -278,6 +290,23 @@ def add_by_position(sums: np.ndarray, counts: np.ndarray, x: np.ndarray, at: np.
         counts[sorted_at[first]] += np.diff(first, append=len(at))
 
 
+def add_nearest(sums: np.ndarray, counts: np.ndarray, x: np.ndarray, model: Centers) -> None:
+    """Adds each row of ``x`` to the sums of its nearest center; rows without one are left out."""
+    k = len(model.ids)
+    for tile in _tiles(x, k):
+        _, at = search(tile, model, distances=False)
+        known = at != NO_CENTER
+        if not known.all():
+            tile, at = tile[known], at[known]
+        if k > ONE_HOT_CENTERS:
+            add_by_position(sums, counts, tile, at)
+        elif len(at):
+            chosen = np.zeros((len(at), k))
+            chosen[np.arange(len(at)), at] = 1.0
+            sums += chosen.T @ tile
+            counts += np.bincount(at, minlength=k)
+
+
 def _combine(partials: DataFrame) -> DataFrame:
     """Adds the tasks' partial sums. The key (cid, dim) spreads even one dominant cluster."""
     return partials.groupBy("cid", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
@@ -290,12 +319,7 @@ def assigned_sums(points: DataFrame, model: Centers, features: str) -> DataFrame
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros((k, d)), np.zeros(k, np.int64)
         for batch in batches:
-            x = vector_matrix(batch.column(0), d)
-            _, at = search(x, model)
-            known = at != NO_CENTER
-            if not known.all():
-                x, at = x[known], at[known]
-            add_by_position(sums, counts, x, at)
+            add_nearest(sums, counts, vector_matrix(batch.column(0), d), model)
         used = counts > 0
         yield sum_rows(model.ids[used], sums[used], counts[used])
 

@@ -72,6 +72,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Keeps all cores busy on a table that is one small file; larger tables pass untouched."""
+    return parallelism.at_least(df, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", vectors.as_doubles("embedding").alias("features")
@@ -83,10 +88,8 @@ def _init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events")
-    return parallelism.at_least(events, spark.sparkContext.defaultParallelism).selectExpr(
-        *CLICKLOG_COLUMNS
-    )
+    events = _table(spark, sf_dir, "events").drop("ts")
+    return _spread(events).selectExpr(*CLICKLOG_COLUMNS)
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +99,12 @@ def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").selectExpr(
+    runs = _table(spark, sf_dir, "lineitem").selectExpr(
         "l_partkey AS experiment_id",
         "l_linenumber AS run",
         "CAST(floor(l_extendedprice) AS BIGINT) AS time",
     )
+    return _spread(runs)
 
 
 def _rounded(c: str, digits: int = 6):
@@ -247,7 +251,7 @@ def zscore(spark, sf_dir):
 
 def assemble_sparse(spark, sf_dir):
     ready = _prepared(spark, sf_dir)
-    vector = features.assemble(features.numeric_columns(len(INT_COLS)), F.col("hashed"))
+    vector = features.assemble(len(INT_COLS))
     return ready.select("event_id", F.inline(vector)).select("event_id", "idx", _rounded("val"))
 
 

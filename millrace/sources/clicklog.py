@@ -21,24 +21,20 @@ def parse_clicklog(lines: DataFrame, delimiter: str = "\t") -> DataFrame:
     without a label, fails the query. No quoting rules apply, unlike in the CSV reader.
     """
     fields = lines.select(F.split("value", delimiter, -1).alias("f"))
-
-    def field(i: int) -> Column:
-        return F.nullif(F.get("f", F.lit(i)), F.lit(""))
-
-    ints = [field(1 + j).cast("int").alias(c) for j, c in enumerate(INT_COLS)]
-    cats = [field(1 + NUM_INTEGERS + j).alias(c) for j, c in enumerate(CAT_COLS)]
-    return fields.select(F.get("f", F.lit(0)).cast("int").alias(LABEL), *ints, *cats)
+    ints = [f"int(nullif(get(f, {j}), '')) AS {c}" for j, c in enumerate(INT_COLS, 1)]
+    cats = [f"nullif(get(f, {j}), '') AS {c}" for j, c in enumerate(CAT_COLS, 1 + NUM_INTEGERS)]
+    return fields.selectExpr(f"int(get(f, 0)) AS {LABEL}", *ints, *cats)
 
 
 def read_clicklog(spark: SparkSession, path: str) -> DataFrame:
     return parse_clicklog(spark.read.text(path))
 
 
-def clicklog_line(df: DataFrame) -> Column:
+def clicklog_line() -> Column:
     """The text form of a row; missing values become empty fields."""
     order = [LABEL, *INT_COLS, *CAT_COLS]
-    return F.concat_ws("\t", *[F.coalesce(df[c].cast("string"), F.lit("")) for c in order])
+    return F.expr("concat_ws('\t', " + ", ".join(f"coalesce(string({c}), '')" for c in order) + ")")
 
 
 def write_clicklog(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.select(clicklog_line(df).alias("value")).write.mode(mode).text(path)
+    df.select(clicklog_line().alias("value")).write.mode(mode).text(path)
