@@ -126,17 +126,26 @@ def hashed_entries(tokens: Column, num_features: int) -> Column:
     return summed(tokens)
 
 
-def hashed_entries_native(tokens: Column, num_features: int) -> Column:
-    """As :func:`hashed_entries`, with only the hash itself in Arrow."""
+def token_hashes(tokens: Column) -> Column:
+    """``ARRAY<INT>`` of the hashes of an ``ARRAY<STRING>`` column."""
 
     @F.arrow_udf("array<int>")
     def hash_all(batch: pa.Array) -> pa.Array:
         starts = batch.offsets.to_numpy()
         flat = batch.values.slice(int(starts[0]), int(starts[-1] - starts[0]))
-        return pa.ListArray.from_arrays((starts - starts[0]).astype(np.int32), pa.array(murmur3(flat)))
+        offsets = (starts - starts[0]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(murmur3(flat)))
 
+    return hash_all(tokens)
+
+
+def entries_of_hashes(hashes: Column, num_features: int) -> Column:
+    """The sums of :func:`hashed_entries` as column expressions over given hashes.
+
+    ``hashes`` must be a column of the frame: Spark allows no Python function inside a lambda.
+    """
     signed = F.transform(
-        hash_all(tokens),
+        hashes,
         lambda h: F.struct(hash_index(h, num_features).alias("idx"), hash_sign(h).alias("s")),
     )
     buckets = F.array_sort(F.array_distinct(F.transform(signed, lambda e: e["idx"])))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import hashed_entries, hashed_entries_native
+from millrace.functions.hashing import entries_of_hashes, hashed_entries, token_hashes
 from millrace.operators.sampling import sample_poisson, sample_with_replacement
 
 Stats = Mapping[str, tuple[float, float]]
@@ -140,22 +140,25 @@ def prepare(
     """Adds ``numeric ARRAY<DOUBLE>`` and ``hashed ARRAY<STRUCT<idx, val>>`` and keeps the rest.
 
     Rows pass once for the statistics (integer columns only reach that scan) and once for the
-    transformation. Given ``stats`` there is no first pass and ``df`` may be a stream.
+    transformation. Given ``stats`` there is no first pass and ``df`` may be a stream. With
+    ``engine='native'`` only the hash runs in Arrow, and the sums are column expressions.
     """
     filled = impute_zero(df, int_cols)
     if stats is None:
         stats = column_stats(filled, int_cols, n)
     if isinstance(stats, DataFrame):
         filled, stats = with_stats(filled, stats), None
-    hashers = {"arrow": hashed_entries, "native": hashed_entries_native}
-    if engine not in hashers:
+    tokens = category_tokens(cat_cols, missing)
+    if engine == "arrow":
+        hashed = hashed_entries(tokens, num_features)
+    elif engine == "native":
+        filled = filled.withColumn("_hashes", token_hashes(tokens))
+        hashed = entries_of_hashes(F.col("_hashes"), num_features)
+    else:
         raise ValueError(f"unknown engine: {engine}")
     rest = [c for c in df.columns if c not in {label, *int_cols, *cat_cols}]
     return filled.select(
-        *rest,
-        label,
-        F.array(*zscores(int_cols, stats)).alias("numeric"),
-        hashers[engine](category_tokens(cat_cols, missing), num_features).alias("hashed"),
+        *rest, label, F.array(*zscores(int_cols, stats)).alias("numeric"), hashed.alias("hashed")
     )
 
 

@@ -1,9 +1,8 @@
 """Run-time summaries over ``experiment(id, suite, name)`` and
 ``experiment_run(experiment_id, run, time)``, times in milliseconds.
 
-All summaries come from one table of (suite, name, time) counts. It is the only shuffle that sees
-the runs: tasks add up equal times first, and the time in its key spreads an experiment that holds a
-third of all runs.
+The runs are never shuffled as such: tasks reduce them to counts per bin first, so an experiment
+that holds a third of all runs sends no more rows than its times have bins.
 """
 
 from __future__ import annotations
@@ -11,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN_BITS = 16
+from millrace.plans.scratch import write_and_read
+
+BIN_BITS = 12
 # Bin of runs without a time: below every bin of a real one.
 NO_TIME_BIN = -(1 << 63)
 GROUP = ["suite", "name"]
@@ -28,27 +29,35 @@ def _join(experiment: DataFrame, runs: DataFrame, suite: str | None) -> DataFram
     return runs.join(known, runs["experiment_id"] == known["id"]).drop("id")
 
 
+def _same_bin():
+    """Condition between the aliases ``v`` (values) and ``m`` (middle bins); NULL names match."""
+    same = F.col("v.bin") == F.col("m.bin")
+    for key in GROUP:
+        same = same & F.col(f"v.{key}").eqNullSafe(F.col(f"m.{key}"))
+    return same
+
+
 def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
     """By (suite, name): ``lo, hi, total, median`` of the times, ``timed`` and ``runs`` counts.
 
     The exact median takes two rounds of counting instead of a list of all values per group. The
-    first counts by coarse bin (the time without its low 16 bits) and finds the bins of the middle
-    ranks; the second looks only into those. So a group's windows see at most 65,536 counts each
-    while its times span less than 2^32 (49 days in ms), however many runs it has; a wider span only
-    makes the first window longer, and that one spills.
+    first counts by coarse bin (the time without its low 12 bits) and finds the bins of the middle
+    ranks; the second scans the runs again and counts single times, in those bins only. A group's
+    windows see at most 2^20 bins while its times span less than 2^32 (49 days in ms), and 2^13 times,
+    however many runs it has; a wider span only makes the first window longer, and that one spills.
+
+    The middle bins, at most two per group, are written out in between. Their size is then known
+    when the second scan is planned: Spark broadcasts them if small, else it merges.
     """
     joined = _join(experiment, run.select("experiment_id", "time"), suite)
-    bin_of = F.coalesce(F.shiftright("time", BIN_BITS), F.lit(NO_TIME_BIN)).alias("bin")
-    counts = joined.groupBy(*GROUP, "time").agg(F.count("*").alias("c")).select(
-        *GROUP, F.col("time").cast("bigint").alias("time"), bin_of, "c"
-    )
-    timed = F.when(F.col("time").isNotNull(), F.col("c")).otherwise(0)
-    bins = counts.groupBy(*GROUP, "bin").agg(
+    bin_of = F.coalesce(F.shiftright(F.col("time").cast("bigint"), BIN_BITS), F.lit(NO_TIME_BIN))
+    timed = joined.select(*GROUP, F.col("time").cast("bigint").alias("time"), bin_of.alias("bin"))
+    bins = timed.groupBy(*GROUP, "bin").agg(
         F.min("time").alias("lo"),
         F.max("time").alias("hi"),
-        F.sum(F.col("time") * F.col("c")).alias("total"),
-        F.sum(timed).alias("timed"),
-        F.sum("c").alias("runs"),
+        F.sum("time").alias("total"),
+        F.count("time").alias("timed"),
+        F.count("*").alias("runs"),
     )
     whole = Window.partitionBy(*GROUP)
     upto = F.sum("timed").over(whole.orderBy("bin"))
@@ -69,11 +78,16 @@ def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
     def holds(rank):
         return (F.col("before") <= rank) & (rank < F.col("upto"))
 
-    middle = ranked.filter(holds(lower) | holds(upper) | (F.col("timed") == 0)).drop("upto")
+    wanted = holds(lower) | holds(upper) | (F.col("timed") == 0)
+    middle = write_and_read(ranked.filter(wanted).drop("upto"), "median-bins")
+    inside = timed.alias("v").join(middle.alias("m"), _same_bin(), "left_semi")
+    values = inside.groupBy(*GROUP, "bin", "time").agg(F.count("*").alias("c"))
+    placed = values.alias("v").join(middle.alias("m"), _same_bin()).select(
+        "v.*", *[f"m.{c}" for c in ("before", "lo", "hi", "total", "timed", "runs")]
+    )
     # The middle bins of a group are neighbours, so one running count passes through both.
-    values = counts.select(*GROUP, "bin", "time", "c").join(middle, [*GROUP, "bin"])
     reached = F.min("before").over(whole) + F.sum("c").over(whole.orderBy("bin", "time"))
-    placed = values.withColumn("upto", reached).withColumn("before", F.col("upto") - F.col("c"))
+    placed = placed.withColumn("upto", reached).withColumn("before", F.col("upto") - F.col("c"))
     picked = [F.max(F.when(holds(r), F.col("time"))).cast("double") for r in (lower, upper)]
     return placed.groupBy(*GROUP).agg(
         *[F.max(c).alias(c) for c in ("lo", "hi", "total", "timed", "runs")],
