@@ -15,6 +15,7 @@ from millrace.plans.scratch import write_and_read
 BIN_BITS = 12
 # Bin of runs without a time: below every bin of a real one.
 NO_TIME_BIN = -(1 << 63)
+RUN_BLOCK = 4096
 GROUP = ["suite", "name"]
 
 
@@ -132,6 +133,24 @@ def listing(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
     )
 
 
+def expected_runs(expected: DataFrame) -> DataFrame:
+    """``(experiment_id, run)`` with runs 1 … n from ``(experiment_id, runs)``.
+
+    An experiment is cut into blocks of runs that are spread before they are written out, so one
+    with very many runs is neither built as one array nor by one task.
+    """
+    runs = F.col("runs").cast("bigint")
+    last_block = F.floor((runs - 1) / RUN_BLOCK)
+    blocks = (
+        expected.filter(runs >= 1)
+        .select("experiment_id", runs.alias("runs"), F.explode(F.sequence(F.lit(0), last_block)))
+        .repartition("experiment_id", "col")
+    )
+    first = F.col("col") * RUN_BLOCK + 1
+    last = F.least(first + RUN_BLOCK - 1, F.col("runs"))
+    return blocks.select("experiment_id", F.explode(F.sequence(first, last)).alias("run"))
+
+
 def pending_runs(
     expected: DataFrame, finished: DataFrame, force: bool = False
 ) -> DataFrame:
@@ -140,13 +159,11 @@ def pending_runs(
     ``expected`` is ``(experiment_id, runs)`` with runs numbered from 1; ``finished`` holds the
     ``(experiment_id, run)`` pairs that succeeded, possibly repeated. ``force`` asks for all.
     """
-    wanted = expected.filter(F.col("runs") >= 1).select(
-        "experiment_id", F.explode(F.sequence(F.lit(1), F.col("runs").cast("int"))).alias("run")
-    )
+    wanted = expected_runs(expected)
     if force:
         return wanted
-    # Reduced in the map tasks first: one hot experiment ships each of its runs once.
-    done = finished.select("experiment_id", F.col("run").cast("int").alias("run")).distinct()
+    # Reduced in the map tasks first: a run that is logged many times is shipped once per task.
+    done = finished.select("experiment_id", F.col("run").cast("bigint").alias("run")).distinct()
     return wanted.join(done, ["experiment_id", "run"], "left_anti")
 
 

@@ -297,7 +297,7 @@ run AS (SELECT l_partkey AS experiment_id, l_linenumber AS run,
 joined AS (SELECT suite, name, run, time FROM experiment, run WHERE id = experiment_id)"""
 
 _PENDING = """pending AS (
-  SELECT o_orderkey AS experiment_id, CAST(i AS INTEGER) AS run FROM orders, range(1, 8) r(i)
+  SELECT o_orderkey AS experiment_id, CAST(i AS BIGINT) AS run FROM orders, range(1, 8) r(i)
   EXCEPT
   SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F')"""
 
