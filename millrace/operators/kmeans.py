@@ -15,11 +15,11 @@ from millrace.operators.nearest import (
     centers_from_means,
     collect_centers,
     means_of,
-    nearest_center,
-    vector_sums,
+    nearest_by_blocks,
+    vector_means,
 )
 from millrace.plans.limits import model_budget
-from millrace.plans.scratch import write_and_read
+from millrace.plans.scratch import remove, write_table
 
 CENTER_SCHEMA = T.StructType(
     [
@@ -66,11 +66,16 @@ def _round_in_memory(
     return Centers(ids.astype(np.int64), matrix), counts
 
 
-def _round_by_table(points: DataFrame, centers: DataFrame, features: str, budget: int) -> DataFrame:
+def _round_by_table(
+    points: DataFrame, centers: DataFrame, features: str, budget: int
+) -> tuple[DataFrame, str]:
     """The same round for center tables beyond the budget; they stay in a written table."""
-    assigned = nearest_center(points.select(features), centers, features, budget=budget)
-    sums = vector_sums(assigned.filter(F.col("cid") != NO_CENTER), "cid", features)
-    return write_and_read(centers_from_means(means_of(sums)), "round")
+    assigned, path = nearest_by_blocks(points.select(features), centers, features, budget)
+    known = assigned.select("_near.cid", features).filter(F.col("cid") != NO_CENTER)
+    means = centers_from_means(vector_means(known, "cid", features))
+    updated = write_table(means, "round")
+    remove(points.sparkSession, path)
+    return updated
 
 
 def fit_lloyd(
@@ -112,8 +117,12 @@ def fit_lloyd(
             F.col("center").cast("array<double>"),
             F.lit(None).cast("bigint").alias("n"),
         )
+        previous = None
         for _ in range(iterations):
-            table = _round_by_table(data, table, features, budget)
+            table, path = _round_by_table(data, table, features, budget)
+            if previous is not None:
+                remove(spark, previous)
+            previous = path
         return table
     finally:
         if cached:

@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from millrace.functions.vectors import sqdist
+from millrace.functions.vectors import sqdist, sqdist_sparse_dense
 from millrace.plans.limits import model_budget
-from millrace.plans.scratch import write_and_read
+from millrace.plans.scratch import remove, write_table
 
 NO_CENTER = -1
 LARGEST = np.finfo(np.float64).max
@@ -93,27 +94,34 @@ def _search_all(x: np.ndarray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
     return best, at
 
 
+def _screen(
+    products: np.ndarray, x_sq: np.ndarray, c_sq: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the nearest center, and the rows for which it is not certain.
+
+    ``|x|² - 2x·c + |c|²`` cancels, so it only screens: a center survives if rounding could put it
+    first, and a row with one survivor is decided. ``products`` (x·c) is overwritten.
+    """
+    products *= -2.0
+    products += c_sq
+    low = products.min(axis=1)
+    scale = x_sq + c_sq.max()
+    slack = 16.0 * (width + 4) * np.finfo(np.float64).eps * scale
+    survivors = products <= (low + slack)[:, None]
+    unsure = (survivors.sum(axis=1) != 1) | ~(scale < LARGEST / 8)
+    return survivors.argmax(axis=1), np.flatnonzero(unsure)
+
+
 def _search_tile(
     x: np.ndarray, model: Centers, distances: bool
 ) -> tuple[np.ndarray | None, np.ndarray]:
-    """Exact nearest center, found by one matrix product and a recheck of near ties.
+    """Exact nearest center: one matrix product, and exact distances where that cannot decide.
 
-    ``|x|² - 2x·c + |c|²`` cancels, so it only screens: a center survives if rounding could put it
-    first. Rows with one survivor are decided, the others compare exact distances. A returned
-    distance is always the exact one.
+    A returned distance is always the exact one.
     """
     c = model.matrix
     c_sq = np.einsum("ij,ij->i", c, c)
-    x_sq = np.einsum("ij,ij->i", x, x)
-    screen = x @ c.T
-    screen *= -2.0
-    screen += c_sq
-    low = screen.min(axis=1)
-    scale = x_sq + c_sq.max()
-    slack = 16.0 * (x.shape[1] + 4) * np.finfo(np.float64).eps * scale
-    survivors = screen <= (low + slack)[:, None]
-    at = survivors.argmax(axis=1)
-    unsure = np.flatnonzero((survivors.sum(axis=1) != 1) | ~(scale < LARGEST / 8))
+    at, unsure = _screen(x @ c.T, np.einsum("ij,ij->i", x, x), c_sq, x.shape[1])
     best = _exact(x, c[at]) if distances else None
     if len(unsure):
         rechecked, at[unsure] = _search_all(x[unsure], model)
@@ -147,6 +155,58 @@ def search(
     return (np.concatenate(best) if distances else None), np.concatenate(at)
 
 
+def _row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive row slices; ``starts`` has one more entry than there are rows."""
+    out = np.zeros((len(starts) - 1, *values.shape[1:]))
+    filled = np.flatnonzero(np.diff(starts))
+    if len(filled):
+        out[filled] = np.add.reduceat(values, starts[:-1][filled], axis=0)
+    return out
+
+
+def search_sparse(column: pa.StructArray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`search` for sparse structs, touching stored entries only.
+
+    The distance is ``|c|² + Σ x(x - 2c)`` over the stored entries. Rows it cannot decide are
+    filled up and compared exactly, a few at a time.
+    """
+    k, width = model.matrix.shape
+    size = column.field("size").to_numpy(zero_copy_only=False)
+    lists, stored = column.field("indices"), column.field("values")
+    if column.null_count or (k and (size != width).any()):
+        wrong = "null" if column.null_count else size[size != width][0]
+        raise ValueError(f"vectors differ in dimension: {wrong} and {width}")
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    idx = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
+    first = stored.offsets.to_numpy()
+    val = stored.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]]
+    starts = starts - starts[0]
+    best, at = np.full(len(size), LARGEST), np.full(len(size), NO_CENTER, np.int64)
+    if k == 0:
+        return best, at
+    with np.errstate(over="ignore", invalid="ignore"):
+        by_dim = np.ascontiguousarray(model.matrix.T)
+        c_sq = np.einsum("ij,ij->j", by_dim, by_dim)
+        x_sq = _row_sums(val * val, starts)
+        step = max(1, TILE_CELLS // max(k, int(np.diff(starts).max(initial=1)) * k))
+        dense_step = max(1, TILE_CELLS // max(width, 1))
+        for lo in range(0, len(size), step):
+            hi = min(lo + step, len(size))
+            cut = slice(starts[lo], starts[hi])
+            products = _row_sums(by_dim[idx[cut]] * val[cut, None], starts[lo : hi + 1] - starts[lo])
+            near, unsure = _screen(products.copy(), x_sq[lo:hi], c_sq, width)
+            rows = np.arange(hi - lo)
+            at[lo:hi] = near
+            best[lo:hi] = x_sq[lo:hi] - 2.0 * products[rows, near] + c_sq[near]
+            for u in range(0, len(unsure), dense_step):
+                some = unsure[u : u + dense_step]
+                x = np.zeros((len(some), width))
+                for r, row in enumerate(some + lo):
+                    x[r, idx[starts[row] : starts[row + 1]]] = val[starts[row] : starts[row + 1]]
+                best[some + lo], at[some + lo] = _search_all(x, model)
+    return best, at
+
+
 def _ids(at: np.ndarray, model: Centers) -> np.ndarray:
     return np.append(model.ids, NO_CENTER)[at].astype(np.int32)
 
@@ -154,20 +214,28 @@ def _ids(at: np.ndarray, model: Centers) -> np.ndarray:
 # --- nearest center ------------------------------------------------------------------------------
 
 
-def nearest_column(features: Column, model: Centers) -> Column:
+def _is_sparse(points: DataFrame, features: str) -> bool:
+    return isinstance(points.schema[features].dataType, T.StructType)
+
+
+def nearest_column(points: DataFrame, features: str, model: Centers) -> Column:
     """``STRUCT<sqdist, cid>`` of the nearest center; only the vectors travel to Python."""
+    sparse = _is_sparse(points, features)
     width = model.matrix.shape[1] if len(model.ids) else None
 
     @F.arrow_udf(NEAREST_TYPE)
     def nearest(batch: pa.Array) -> pa.Array:
-        best, at = search(vector_matrix(batch, width), model)
+        if sparse:
+            best, at = search_sparse(batch, model)
+        else:
+            best, at = search(vector_matrix(batch, width), model)
         cids = _ids(at, model)
         lost = cids == NO_CENTER
         return pa.StructArray.from_arrays(
             [pa.array(best, mask=lost), pa.array(cids)], names=["sqdist", "cid"]
         )
 
-    return nearest(features)
+    return nearest(F.col(features))
 
 
 def _nearest_native(points: DataFrame, centers: DataFrame, features: str) -> DataFrame:
@@ -179,9 +247,10 @@ def _nearest_native(points: DataFrame, centers: DataFrame, features: str) -> Dat
     packed = centers.agg(
         F.collect_list(F.struct("cid", F.col("center").cast("array<double>").alias("center")))
     ).scalar()
+    distance = sqdist_sparse_dense if _is_sparse(points, features) else sqdist
     distances = F.transform(
         "_centers",
-        lambda c: F.struct(sqdist(features, c["center"]).alias("sqdist"), c["cid"].alias("cid")),
+        lambda c: F.struct(distance(features, c["center"]).alias("sqdist"), c["cid"].alias("cid")),
     )
     near = F.array_min(F.filter(distances, lambda e: e["sqdist"] < float(LARGEST)))
     lost = F.struct(F.lit(None).cast("double").alias("sqdist"), F.lit(NO_CENTER).alias("cid"))
@@ -195,31 +264,37 @@ def center_blocks(centers: DataFrame, budget: int) -> tuple[DataFrame, int]:
     return centers.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")), blocks
 
 
-def _nearest_by_blocks(
+def nearest_by_blocks(
     points: DataFrame, centers: DataFrame, features: str, budget: int
-) -> DataFrame:
-    """Exact search for center tables beyond the budget.
+) -> tuple[DataFrame, str]:
+    """Exact search for center tables beyond the budget; adds ``_near`` and names the table's path.
 
     Every block of centers passes over the points once and lowers the running minimum. Each pass is
-    written to the shared folder, so tasks hold one block at a time and a lost executor repeats one
-    pass. The struct compares by distance, then id, which keeps the tie rule.
+    written to the shared folder and replaces the one before, so tasks hold one block at a time and
+    a lost executor repeats one pass. The struct compares by distance, then id, which keeps the tie
+    rule.
     """
-    stored = write_and_read(centers.select("cid", "center"), "centers")
+    spark = points.sparkSession
+    stored, centers_path = write_table(centers.select("cid", "center"), "centers")
     tagged, blocks = center_blocks(stored, budget)
     lost = F.struct(F.lit(None).cast("double").alias("sqdist"), F.lit(NO_CENTER).alias("cid"))
-    state = points.withColumn("_near", lost)
+    state, path = points.withColumn("_near", lost), None
     for b in range(blocks):
         rows = tagged.filter(F.col("block") == b).select("cid", "center").collect()
-        if not rows:
+        if not rows and path is not None:
             continue
-        found = nearest_column(F.col(features), Centers.of(rows))
+        found = nearest_column(points, features, Centers.of(rows))
         better = F.when(F.col("_near.cid") == NO_CENTER, found).otherwise(
             F.when(found["cid"] == NO_CENTER, F.col("_near")).otherwise(
                 F.least(F.col("_near"), found)
             )
         )
-        state = write_and_read(state.withColumn("_near", better), f"nearest-{b}")
-    return state
+        state, written = write_table(state.withColumn("_near", better), f"nearest-{b}")
+        if path is not None:
+            remove(spark, path)
+        path = written
+    remove(spark, centers_path)
+    return state, path
 
 
 def nearest_center(
@@ -229,7 +304,7 @@ def nearest_center(
     engine: str = "arrow",
     budget: int | None = None,
 ) -> DataFrame:
-    """Adds ``cid`` and ``sqdist`` of the nearest center to every point.
+    """Adds ``cid`` and ``sqdist`` of the nearest center to every dense or sparse point.
 
     Strictly smaller distances win, ties go to the smallest ``cid``. A point with no comparable
     distance gets ``cid = -1`` and a NULL distance. ``engine='native'`` stays in the JVM.
@@ -242,9 +317,9 @@ def nearest_center(
         budget = model_budget(points.sparkSession) if budget is None else budget
         model = centers if isinstance(centers, Centers) else collect_centers(centers, budget)
         if model is None:
-            found = _nearest_by_blocks(points, centers, features, budget)
+            found, _ = nearest_by_blocks(points, centers, features, budget)
         else:
-            found = points.withColumn("_near", nearest_column(F.col(features), model))
+            found = points.withColumn("_near", nearest_column(points, features, model))
     else:
         raise ValueError(f"unknown engine: {engine}")
     return found.select(

@@ -30,17 +30,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df: DataFrame, label: str) -> DataFrame:
-    """Store ``df`` as parquet in the shared folder and return a scan of it."""
+def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Stores ``df`` as parquet in the shared folder; returns a scan of it and its path."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def write_and_read(df: DataFrame, label: str) -> DataFrame:
+    return write_table(df, label)[0]
+
+
+def _file_system(spark: SparkSession, path: str):
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that a later one has replaced."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -103,6 +103,45 @@ def test_dimension_mismatch(spark):
         nearest.nearest_center(pts, centers, engine="other")
 
 
+SPARSE = "id int, features struct<size:int,indices:array<int>,values:array<double>>"
+
+
+@pytest.mark.parametrize("options", [{}, {"engine": "native"}, {"budget": 150}])
+def test_sparse_points_by_brute_force(spark, options):
+    rng = np.random.default_rng(11)
+    width, centers = 12, [(int(i), [float(v) for v in rng.normal(0, 2, 12)]) for i in range(6)]
+    centers.append((6, centers[2][1]))  # a tie for every point near it
+    dense, rows = [], []
+    for i in range(80):
+        idx = sorted(rng.choice(width, rng.integers(0, 6), replace=False).tolist())
+        val = [float(v) for v in rng.normal(0, 3, len(idx))]
+        dense.append([val[idx.index(j)] if j in idx else 0.0 for j in range(width)])
+        rows.append((i, (width, idx, val)))
+    pts = spark.createDataFrame(rows, SPARSE).repartition(3)
+    got = nearest.nearest_center(pts, spark.createDataFrame(centers, CENTER), **options).collect()
+    assert len(got) == 80
+    for r in got:
+        d, cid = _brute(dense[r.id], centers)
+        assert r.cid == cid and r.sqdist == pytest.approx(d)
+
+
+def test_sparse_width_must_match(spark):
+    pts = spark.createDataFrame([(0, (5, [1], [2.0]))], SPARSE)
+    centers = spark.createDataFrame([(0, [0.0, 1.0])], CENTER)
+    with pytest.raises(Exception, match="5 and 2"):
+        nearest.nearest_center(pts, centers).collect()
+
+
+def test_intermediate_tables_are_removed(spark, points, init):
+    import os
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    kmeans.fit_lloyd(points, init, 3, budget=60).collect()
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("round-")
+
+
 def test_no_centers(spark, points):
     empty = spark.createDataFrame([], CENTER)
     assert {r.cid for r in nearest.nearest_center(points, empty).collect()} == {-1}
