@@ -53,7 +53,7 @@ def _as_frame(spark: SparkSession, model: Centers, counts: dict[int, int] | None
     return spark.createDataFrame(rows, CENTER_SCHEMA)
 
 
-def _round_in_memory(
+def one_round(
     points: DataFrame, model: Centers, features: str
 ) -> tuple[Centers, dict[int, int]]:
     """One assignment and update; returns k·d numbers to the driver, which also ends the lineage."""
@@ -110,7 +110,7 @@ def fit_lloyd(
         if model is not None:
             counts = None
             for _ in range(iterations):
-                model, counts = _round_in_memory(data, model, features)
+                model, counts = one_round(data, model, features)
             return _as_frame(spark, model, counts)
         table = init.select(
             F.col("cid").cast("int"),
