@@ -331,7 +331,10 @@ def nearest_center(
 def clustering_cost(
     points: DataFrame, centers: DataFrame | Centers, features: str = "features", **options
 ) -> DataFrame:
-    """One row: sum of squared distances to the nearest centers."""
+    """One row: sum of squared distances to the nearest centers.
+
+    Points without a comparable distance (``cid = -1``) add nothing.
+    """
     assigned = nearest_center(points.select(features), centers, features, **options)
     return assigned.agg(F.coalesce(F.sum("sqdist"), F.lit(0.0)).alias("cost"))
 

@@ -6,10 +6,15 @@ import functools
 import math
 import operator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.uniform import keyed_digest, keyed_uniform
+from millrace.plans.limits import estimated_bytes
+
+TASK_BYTES = 128 * 1024 * 1024
+# Rows that the last task of a top-k may have to merge.
+MERGED_ROWS = 200_000
 
 # exp(-mean) must stay well above the smallest double; larger means are split into parts.
 POISSON_PART = 64.0
@@ -17,13 +22,38 @@ POISSON_PART = 64.0
 LARGEST_UNIFORM = 1.0 - 2.0**-32
 
 
-def sample_k(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+def _leading_zeros(digest: Column) -> Column:
+    """Zero hex digits at the front of a digest: each more keeps a sixteenth of the rows."""
+    return F.length(digest) - F.length(F.ltrim(digest, F.lit("0")))
+
+
+def _front_rows(df: DataFrame, digest: Column, k: int) -> DataFrame:
+    """The rows whose digests start with the most zeros that at least k rows share.
+
+    One pass counts the rows by number of zeros, a handful of counts per task. What is kept holds
+    the k smallest digests for certain and is at most a few dozen times k rows in expectation.
+    """
+    counts = df.groupBy(_leading_zeros(digest).alias("zeros")).count().collect()
+    enough = 0
+    for zeros in sorted((r["zeros"] for r in counts), reverse=True):
+        if sum(r["count"] for r in counts if r["zeros"] >= zeros) >= k:
+            enough = zeros
+            break
+    return df.filter(_leading_zeros(digest) >= enough) if enough else df
+
+
+def sample_k(df: DataFrame, key: str, k: int, seed: int = 42, partial: int | None = None) -> DataFrame:
     """Exactly k rows without replacement (all rows if there are fewer).
 
-    Sorting by digest with a limit is a per-partition top-k followed by one merge of k rows each;
-    nothing is sorted globally.
+    Sorting by digest with a limit is a per-task top-k and one merge of k rows from every task;
+    nothing is sorted globally. Where that merge would exceed ``partial`` rows by the estimated
+    size of the input, rows far from the front of the order are filtered out beforehand.
     """
-    return df.orderBy(keyed_digest(seed, F.col(key)), F.col(key)).limit(k)
+    digest = keyed_digest(seed, F.col(key))
+    tasks = 1 + estimated_bytes(df) // TASK_BYTES
+    if tasks * k > (MERGED_ROWS if partial is None else partial):
+        df = _front_rows(df, digest, k)
+    return df.orderBy(digest, F.col(key)).limit(k)
 
 
 def initial_centers(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 MODEL_BYTES_KEY = "spark.millrace.maxModelBytes"
 DEFAULT_MODEL_BYTES = 64 * 1024 * 1024
@@ -11,3 +11,8 @@ DEFAULT_MODEL_BYTES = 64 * 1024 * 1024
 def model_budget(spark: SparkSession) -> int:
     """Largest center matrix, in bytes, that is shipped to every task as a whole."""
     return int(spark.conf.get(MODEL_BYTES_KEY, str(DEFAULT_MODEL_BYTES)))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's size estimate for ``df``; planning only, nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,7 +14,9 @@ from millrace.sources.parallelism import at_least
 
 
 def parse_points(lines: DataFrame) -> DataFrame:
-    return lines.select(F.split("value", ",").cast("array<double>").alias("features"))
+    """``features`` of each line; commas at its end are ignored."""
+    fields = F.split(F.rtrim("value", F.lit(",")), ",")
+    return lines.select(fields.cast("array<double>").alias("features"))
 
 
 def parse_indexed_centers(lines: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ def at_least(df: DataFrame, partitions: int) -> DataFrame:
     A table of few small files reads in few tasks; only such a one is redistributed. Anything that
     already has the parts, as every large table does, passes untouched. Rows move by the hash of
     their values: a repeated task sends them the same way, without the sort that a round-robin
-    distribution needs for that.
+    distribution needs for that. Meant for scans: counting the parts of a frame behind a shuffle
+    would run that shuffle.
     """
     if df.rdd.getNumPartitions() >= partitions:
         return df

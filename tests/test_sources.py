@@ -26,6 +26,11 @@ def test_points_round_trip(spark, points, tmp_path):
         dense.write_points(points, path)
 
 
+def test_trailing_commas(spark, tmp_path):
+    path = _lines(spark, tmp_path, "p.csv", ["1.0,2.0,", "3,-4e2"])
+    assert [r.features for r in dense.read_points(spark, path).collect()] == [[1, 2], [3, -400]]
+
+
 def test_malformed_number_fails(spark, tmp_path):
     path = _lines(spark, tmp_path, "bad.csv", ["1.0,2.0", "1.0,oops"])
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

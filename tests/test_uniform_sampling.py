@@ -71,6 +71,14 @@ def test_sample_k_with_few_rows(spark):
     assert sampling.sample_k(spark.range(3), "id", 10).count() == 3
 
 
+@pytest.mark.parametrize("k", [1, 3, 40, 900, 5000])
+def test_prefiltered_sample_is_the_same(spark, k):
+    df = spark.range(3000).repartition(4)
+    direct = sampling.sample_k(df, "id", k).collect()
+    assert sampling.sample_k(df, "id", k, partial=0).collect() == direct
+    assert len(direct) == min(k, 3000)
+
+
 def test_initial_centers_are_numbered_points(points):
     rows = sampling.initial_centers(points, "point_id", 4).collect()
     known = {tuple(r.features) for r in points.collect()}
