@@ -7,8 +7,9 @@ Everything here is row-local: no function shuffles, and all work on streaming fr
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnLike = Column | str
 
@@ -76,6 +77,27 @@ def sqdist_dense_sparse(dense: ColumnLike, sparse: ColumnLike) -> Column:
     return sqdist_sparse_dense(sparse, dense)
 
 
+def vector_kind(df: DataFrame, name: str) -> str:
+    """``dense`` or ``sparse``, by the column's type; anything else is an error."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return "dense"
+    if isinstance(kind, T.StructType) and set(kind.names) == {"size", "indices", "values"}:
+        return "sparse"
+    raise TypeError(f"column {name} is no vector: {kind.simpleString()}")
+
+
+def squared_distance(df: DataFrame, a: str, b: str) -> Column:
+    """Squared distance of two vector columns of ``df``, each dense or sparse."""
+    distances = {
+        ("dense", "dense"): sqdist,
+        ("sparse", "sparse"): sqdist_sparse,
+        ("sparse", "dense"): sqdist_sparse_dense,
+        ("dense", "sparse"): sqdist_dense_sparse,
+    }
+    return distances[vector_kind(df, a), vector_kind(df, b)](a, b)
+
+
 def vec_add(a: ColumnLike, b: ColumnLike) -> Column:
     a, b = as_doubles(a), as_doubles(b)
     summed = F.zip_with(a, b, lambda x, y: x + y)

@@ -186,3 +186,11 @@ def standardize_and_hash(
         sampled = sample_with_replacement(df, fraction, seed)
     ready = prepare(sampled, label, int_cols, cat_cols, num_features, missing, n)
     return ready.select(libsvm_line(label, len(int_cols), digits).alias("value"))
+
+
+def prepared_size(lines: DataFrame) -> DataFrame:
+    """One row: number of prepared rows and of the parts that hold them."""
+    parts = lines.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    return parts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_partitions")
+    )

@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from millrace.functions.vectors import sqdist, sqdist_sparse_dense
+from millrace.functions.vectors import sqdist, sqdist_sparse_dense, vector_kind
 from millrace.plans.limits import model_budget
 from millrace.plans.scratch import remove, write_table
 
@@ -214,13 +213,9 @@ def _ids(at: np.ndarray, model: Centers) -> np.ndarray:
 # --- nearest center ------------------------------------------------------------------------------
 
 
-def _is_sparse(points: DataFrame, features: str) -> bool:
-    return isinstance(points.schema[features].dataType, T.StructType)
-
-
 def nearest_column(points: DataFrame, features: str, model: Centers) -> Column:
     """``STRUCT<sqdist, cid>`` of the nearest center; only the vectors travel to Python."""
-    sparse = _is_sparse(points, features)
+    sparse = vector_kind(points, features) == "sparse"
     width = model.matrix.shape[1] if len(model.ids) else None
 
     @F.arrow_udf(NEAREST_TYPE)
@@ -247,7 +242,8 @@ def _nearest_native(points: DataFrame, centers: DataFrame, features: str) -> Dat
     packed = centers.agg(
         F.collect_list(F.struct("cid", F.col("center").cast("array<double>").alias("center")))
     ).scalar()
-    distance = sqdist_sparse_dense if _is_sparse(points, features) else sqdist
+    sparse = vector_kind(points, features) == "sparse"
+    distance = sqdist_sparse_dense if sparse else sqdist
     distances = F.transform(
         "_centers",
         lambda c: F.struct(distance(features, c["center"]).alias("sqdist"), c["cid"].alias("cid")),

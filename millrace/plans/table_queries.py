@@ -263,9 +263,9 @@ def _neighbours(spark, sf_dir):
 
 
 def sqdist_dense(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("vec_id", vectors.sqdist("a", "b").alias("d")).select(
-        "vec_id", _rounded("d")
-    )
+    pairs = _neighbours(spark, sf_dir)
+    distance = vectors.squared_distance(pairs, "a", "b")
+    return pairs.select("vec_id", distance.alias("d")).select("vec_id", _rounded("d"))
 
 
 def sqdist_sparse_sparse(spark, sf_dir):
@@ -274,18 +274,16 @@ def sqdist_sparse_sparse(spark, sf_dir):
         vectors.sparsify("a", SPARSE_THRESHOLD).alias("a"),
         vectors.sparsify("b", SPARSE_THRESHOLD).alias("b"),
     )
-    return sparse.select("vec_id", vectors.sqdist_sparse("a", "b").alias("d")).select(
-        "vec_id", _rounded("d")
-    )
+    distance = vectors.squared_distance(sparse, "a", "b")
+    return sparse.select("vec_id", distance.alias("d")).select("vec_id", _rounded("d"))
 
 
 def sqdist_sparse_dense(spark, sf_dir):
     mixed = _neighbours(spark, sf_dir).select(
         "vec_id", vectors.sparsify("a", SPARSE_THRESHOLD).alias("a"), "b"
     )
-    return mixed.select("vec_id", vectors.sqdist_sparse_dense("a", "b").alias("d")).select(
-        "vec_id", _rounded("d")
-    )
+    distance = vectors.squared_distance(mixed, "a", "b")
+    return mixed.select("vec_id", distance.alias("d")).select("vec_id", _rounded("d"))
 
 
 def vector_add_scale(spark, sf_dir):
@@ -381,7 +379,7 @@ def prepared_count(spark, sf_dir):
         seed=SEED,
         key="event_id",
     )
-    return lines.agg(F.count("value").alias("n_rows"))
+    return features.prepared_size(lines).select("n_rows")
 
 
 # --- sampling and generation ---------------------------------------------------------------------

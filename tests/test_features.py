@@ -92,3 +92,9 @@ def test_awkward_column_names(spark):
 def test_binarize(spark):
     df = spark.createDataFrame([(-2,), (0,), (1,), (9,)], "y int")
     assert [r[0] for r in df.select(features.binarize(F.col("y"))).collect()] == [-1, -1, 1, 1]
+
+
+def test_prepared_size(spark):
+    rows = features.prepared_size(spark.range(0, 50, 1, 3)).collect()
+    assert [tuple(r) for r in rows] == [(50, 3)]
+    assert tuple(features.prepared_size(spark.range(0)).first()) == (0, 0)

@@ -39,6 +39,16 @@ def test_sparse_pairs_by_brute_force(spark):
         assert r.ss == pytest.approx(want) and r.sd == pytest.approx(want) and r.ds == r.sd
 
 
+def test_distance_by_column_types(spark):
+    df = _one(spark, f"s {SPARSE}, d array<double>, x string, y array<string>",
+              (2, [1], [3.0]), [1.0, 1.0], "v", ["v"])
+    for a, b, want in (("s", "d", 5.0), ("d", "s", 5.0), ("s", "s", 0.0), ("d", "d", 0.0)):
+        assert df.select(vectors.squared_distance(df, a, b)).first()[0] == want
+    for other in ("x", "y"):
+        with pytest.raises(TypeError, match=other):
+            vectors.squared_distance(df, "s", other)
+
+
 def test_dimension_mismatch_names_both_sizes(spark):
     df = _one(spark, "a array<double>, b array<double>", [1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0])
     for expr in (vectors.sqdist("a", "b"), vectors.vec_add("a", "b")):
