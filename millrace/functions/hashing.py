@@ -31,45 +31,39 @@ def _mix(k: np.ndarray) -> np.ndarray:
     return _rotate(k * np.uint32(MIX_1), 15) * np.uint32(MIX_2)
 
 
+TAIL_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], np.uint32)
+
+
 def murmur3(tokens: pa.Array, seed: int = HASH_SEED) -> np.ndarray:
     """Signed 32-bit hash of every string in ``tokens``."""
-    raw = tokens.cast(pa.large_binary()) if len(tokens) else pa.array([], pa.large_binary())
+    if not len(tokens):
+        return np.zeros(0, np.int32)
+    raw = tokens.cast(pa.large_binary())
     if raw.null_count:
         raise ValueError("a token to hash must not be null")
-    offsets = np.frombuffer(raw.buffers()[1], np.int64) if len(raw) else np.zeros(1, np.int64)
-    offsets = offsets[raw.offset : raw.offset + len(raw) + 1]
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     begin, size = offsets[:-1], np.diff(offsets)
-    body = raw.buffers()[2] if len(raw) else None
-    data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
-    data = np.append(data[: offsets[-1]], np.zeros(4, np.uint8))
-
-    # Longest first: the tokens that still have a block are always a leading slice.
-    order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
+    body = raw.buffers()[2]
+    data = np.zeros(offsets[-1] + 4, np.uint8)
+    if body is not None:
+        data[:-4] = np.frombuffer(body, np.uint8, count=offsets[-1])
+    # words[i] is the little-endian word that starts at byte i
+    words = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
     blocks = size >> 2
     h = np.full(len(size), seed, np.uint32)
     with np.errstate(over="ignore"):
-        for b in range(int(blocks[0]) if len(blocks) else 0):
-            live = int(np.searchsorted(-blocks, -b, side="left"))
-            at = begin[:live] + 4 * b
-            k = data[at].astype(np.uint32)
-            for byte in (1, 2, 3):
-                k |= data[at + byte].astype(np.uint32) << np.uint32(8 * byte)
-            h[:live] = _rotate(h[:live] ^ _mix(k), 13) * np.uint32(STEP_FACTOR) + np.uint32(STEP_ADD)
-        rest = size & 3
-        at = begin + 4 * blocks
-        tail = np.zeros(len(size), np.uint32)
-        for byte in (0, 1, 2):
-            part = data[np.minimum(at + byte, len(data) - 1)].astype(np.uint32)
-            tail |= np.where(rest > byte, part << np.uint32(8 * byte), np.uint32(0))
-        h ^= _mix(tail)  # an empty tail mixes to 0 and changes nothing
+        live = np.arange(len(size))
+        for b in range(int(blocks.max())):
+            live = live[blocks[live] > b]
+            mixed = h[live] ^ _mix(words[begin[live] + 4 * b])
+            h[live] = _rotate(mixed, 13) * np.uint32(STEP_FACTOR) + np.uint32(STEP_ADD)
+        # an empty tail mixes to 0 and changes nothing
+        h ^= _mix(words[begin + 4 * blocks] & TAIL_MASKS[size & 3])
         h ^= size.astype(np.uint32)
         h = (h ^ (h >> np.uint32(16))) * np.uint32(FINAL_1)
         h = (h ^ (h >> np.uint32(13))) * np.uint32(FINAL_2)
         h ^= h >> np.uint32(16)
-    result = np.empty(len(h), np.int32)
-    result[order] = h.view(np.int32)
-    return result
+    return h.view(np.int32)
 
 
 def murmur3_column(token: Column) -> Column:
@@ -97,12 +91,12 @@ def signed_sums(tokens: pa.ListArray, num_features: int) -> pa.ListArray:
     flat = tokens.values.slice(int(starts[0]), int(starts[-1] - starts[0]))
     hashes = murmur3(flat).astype(np.int64)
     rows = np.repeat(np.arange(len(tokens), dtype=np.int64), np.diff(starts))
-    keys = rows * num_features + np.abs(hashes) % num_features
-    order = np.argsort(keys, kind="stable")
-    keys, signs = keys[order], np.where(hashes[order] >= 0, 1, -1)
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    sums = np.add.reduceat(signs, first) if len(first) else np.zeros(0, np.int64)
-    keys, sums = keys[first][sums != 0], sums[sums != 0]
+    # Row, bucket and sign in one integer: a plain sort brings equal buckets of a row together.
+    keys = np.sort(2 * (rows * num_features + np.abs(hashes) % num_features) + (hashes < 0))
+    signs, keys = 1 - 2 * (keys & 1), keys >> 1
+    last = np.flatnonzero(np.diff(keys, append=-1))
+    sums = np.diff(np.cumsum(signs)[last], prepend=0)
+    keys, sums = keys[last][sums != 0], sums[sums != 0]
     ends = np.cumsum(np.bincount(keys // num_features, minlength=len(tokens)))
     offsets = np.concatenate(([0], ends)).astype(np.int32)
     entries = pa.StructArray.from_arrays(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.uniform import counter_ints, counter_values
-from millrace.operators.sampling import initial_centers
+from millrace.operators.sampling import TASK_BYTES, initial_centers
 
 # Settings of the published benchmark workload.
 DEFAULT_SEED = 42
@@ -128,12 +128,16 @@ def gaussian_mixture(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(points, centers, init)`` for exactly ``n_rows`` rows, or as many as fill ``gib``.
 
-    ``init`` are k sampled points as ``(cid, center)``.
+    ``init`` are k sampled points as ``(cid, center)``. Unless ``partitions`` says otherwise a task
+    generates at most 128 MiB of vectors.
     """
     if (n_rows is None) == (gib is None):
         raise ValueError("give either n_rows or gib")
     n = n_rows if n_rows is not None else rows_for_size(gib, mixture.d)
-    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(0, n)
+    if partitions is None:
+        needed = math.ceil(n * mixture.d * BYTES_PER_VALUE / TASK_BYTES)
+        partitions = max(spark.sparkContext.defaultParallelism, needed)
+    ids = spark.range(0, n, 1, partitions)
     points = mixture_points(ids.withColumnRenamed("id", "point_id"), mixture)
     cids = spark.range(mixture.k).select(F.col("id").cast("int").alias("cid"))
     centers = mixture_centers(cids, mixture)

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.clustering import KMeans as VectorKMeans
+from pyspark.mllib.clustering import KMeansModel
+from pyspark.mllib.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,47 +136,53 @@ def fit_lloyd(
             data.unpersist()
 
 
+def _center_rows(spark: SparkSession, ids: Iterable[int], centers: Iterable) -> DataFrame:
+    rows = [(int(cid), [float(v) for v in c], None) for cid, c in zip(ids, centers)]
+    return spark.createDataFrame(rows, CENTER_SCHEMA).drop("n")
+
+
 def fit_library(
     points: DataFrame,
-    init: DataFrame,
+    init: DataFrame | None,
     k: int,
     iterations: int,
     features: str = "features",
     storage: str = "MEMORY_AND_DISK",
+    seed: int = 42,
 ) -> DataFrame:
-    """Spark's own k-means, started from ``init``; returns ``(cid, center)``.
+    """Spark's own k-means; returns ``(cid, center)``.
 
-    The DataFrame estimator accepts no initial model, the older vector API does. It stops early
-    once every center moves less than 1e-4 and keeps centers that get no point.
+    With ``init`` it starts from those centers. The DataFrame estimator accepts no initial model, so
+    this goes through the older vector API. Without ``init`` the estimator picks its own start
+    (``k-means||``). Both stop early once every center moves less than 1e-4 and keep centers that
+    get no point.
     """
-    from pyspark.mllib.clustering import KMeans, KMeansModel
-    from pyspark.mllib.linalg import Vectors
-
+    level = storage_level(storage)
+    spark = points.sparkSession
+    vectors = points.select(F.col(features).cast("array<double>").alias("x"))
+    if init is None:
+        estimator = KMeans(featuresCol="v", k=k, maxIter=iterations, tol=1e-4, seed=seed)
+        data = vectors.select(array_to_vector("x").alias("v")).persist(level)
+        try:
+            return _center_rows(spark, range(k), estimator.fit(data).clusterCenters())
+        finally:
+            data.unpersist()
     model = collect_centers(init)
     if model is None:
         raise ValueError("the initial model exceeds the model budget; use fit_lloyd")
     if len(model.ids) != k:
         raise ValueError(f"{len(model.ids)} initial centers given for k = {k}")
-    level = storage_level(storage)
-    spark = points.sparkSession
-    vectors = points.select(F.col(features).cast("array<double>")).rdd.map(
-        lambda row: Vectors.dense(row[0])
-    )
-    vectors.persist(level)
+    rows = vectors.rdd.map(lambda row: Vectors.dense(row[0])).persist(level)
     try:
         start = KMeansModel([Vectors.dense(c) for c in model.matrix])
-        trained = KMeans.train(vectors, k, maxIterations=iterations, initialModel=start)
+        trained = VectorKMeans.train(rows, k, maxIterations=iterations, initialModel=start)
     finally:
-        vectors.unpersist()
-    rows = [
-        (int(cid), [float(v) for v in center], None)
-        for cid, center in zip(model.ids, trained.clusterCenters)
-    ]
-    return spark.createDataFrame(rows, CENTER_SCHEMA).drop("n")
+        rows.unpersist()
+    return _center_rows(spark, model.ids, trained.clusterCenters)
 
 
 def fit(
-    points: DataFrame, init: DataFrame, iterations: int, method: str = "lloyd", **options
+    points: DataFrame, init: DataFrame | None, iterations: int, method: str = "lloyd", **options
 ) -> DataFrame:
     """Training by name: ``lloyd`` (ours) or ``library`` (Spark's)."""
     if method == "lloyd":

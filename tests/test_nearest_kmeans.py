@@ -213,6 +213,9 @@ def test_library_training(points, init):
     assert nearest.clustering_cost(points, trained).first().cost <= start
     with pytest.raises(ValueError):
         kmeans.fit_library(points, init, 3, 3)
+    own_start = kmeans.fit_library(points, None, 3, 10)
+    assert own_start.count() == 3
+    assert nearest.clustering_cost(points, own_start).first().cost < 2 * start
 
 
 def test_method_and_storage_names(points, init):
