@@ -25,6 +25,8 @@ SIGMA_LIMIT = 5.0
 
 BYTES_PER_VALUE = 8
 SMALLEST_UNIFORM = 2.0**-64
+# Values drawn at a time, so that the working arrays stay in the processor cache.
+TILE_CELLS = 1 << 17
 
 
 def rows_for_size(gib: float, d: int) -> int:
@@ -101,8 +103,10 @@ def mixture_points(ids: DataFrame, mixture: Mixture, key: str = "point_id") -> D
 
     @F.arrow_udf("struct<true_cid:bigint,is_noise:boolean,features:array<double>>")
     def drawn(batch: pa.Array) -> pa.Array:
-        ids_ = batch.to_numpy(zero_copy_only=False).astype(np.int64)
-        cids, noisy, x = mixture.point_values(ids_)
+        keys = batch.to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = max(1, TILE_CELLS // mixture.d)
+        tiles = [mixture.point_values(keys[i : i + rows]) for i in range(0, max(len(keys), 1), rows)]
+        cids, noisy, x = (np.concatenate(part) for part in zip(*tiles))
         return pa.StructArray.from_arrays(
             [pa.array(cids), pa.array(noisy), _list_array(x)],
             names=["true_cid", "is_noise", "features"],

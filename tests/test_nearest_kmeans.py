@@ -156,6 +156,19 @@ def test_sums_engines_agree(points):
     assert got["arrow"] == got["native"] and len(got["arrow"]) == 21
 
 
+@pytest.mark.parametrize("engine", ["arrow", "native"])
+def test_one_key_with_a_third_of_the_rows(spark, engine):
+    rng = np.random.default_rng(2)
+    keys = np.where(np.arange(900) % 3 == 0, 5, rng.integers(10, 40, 900))
+    x = rng.normal(0, 1, (900, 4))
+    rows = [(int(k), [float(v) for v in r]) for k, r in zip(keys, x)]
+    df = spark.createDataFrame(rows, "key int, features array<double>").repartition(6)
+    got = nearest.vector_means(df, "key", engine=engine).collect()
+    assert {r.cid: r.n for r in got} == {int(k): int((keys == k).sum()) for k in set(keys)}
+    for r in got:
+        assert r.x == pytest.approx(x[keys == r.cid, r.dim].mean())
+
+
 def test_sums_flush_when_the_table_outgrows_its_budget(spark, points):
     spark.conf.set("spark.millrace.maxModelBytes", "100")
     try:
