@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from millrace.plans.scratch import remove, write_table
 NO_CENTER = -1
 LARGEST = np.finfo(np.float64).max
 TILE_CELLS = 1 << 17
+LEAST_TILE_ROWS = 64
 ONE_HOT_CENTERS = 256
 NEAREST_TYPE = "struct<sqdist:double,cid:int>"
 
@@ -44,6 +46,19 @@ class Centers:
         matrix = np.array([r["center"] for r in rows], np.float64)
         return cls(ids, matrix.reshape(len(rows), widths.pop() if widths else 0))
 
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.matrix, self.matrix)
+
+    @cached_property
+    def by_dimension(self) -> np.ndarray:
+        return np.ascontiguousarray(self.matrix.T)
+
+
+def center_bytes(centers: DataFrame) -> int:
+    """Size of the centers as a matrix."""
+    return centers.agg(F.sum(F.size("center").cast("bigint") * 8 + 8)).first()[0] or 0
+
 
 def collect_centers(centers: DataFrame, budget: int | None = None) -> Centers | None:
     """The centers as a matrix, or None if they exceed the budget. Counted before collected."""
@@ -52,8 +67,7 @@ def collect_centers(centers: DataFrame, budget: int | None = None) -> Centers |
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        size = kept.agg(F.sum(F.size("center").cast("bigint") * 8 + 8).alias("b")).first()["b"]
-        return Centers.of(kept.collect()) if (size or 0) <= budget else None
+        return Centers.of(kept.collect()) if center_bytes(kept) <= budget else None
     finally:
         kept.unpersist()
 
@@ -93,22 +107,43 @@ def _search_all(x: np.ndarray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
     return best, at
 
 
-def _screen(
-    products: np.ndarray, x_sq: np.ndarray, c_sq: np.ndarray, width: int
+def _compare(
+    x: np.ndarray, candidates: np.ndarray, model: Centers
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the nearest center, and the rows for which it is not certain.
+    """Exact minimum over the marked centers of each row; every row has at least one."""
+    best, at = np.empty(len(x)), np.empty(len(x), np.int64)
+    most = int(candidates.sum(axis=1).max(initial=1))
+    rows = max(1, TILE_CELLS // (most * max(1, x.shape[1])))
+    for lo in range(0, len(x), rows):
+        r, c = np.nonzero(candidates[lo : lo + rows])
+        d = _exact(x[lo + r], model.matrix[c])
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        low = np.minimum.reduceat(d, first)
+        lowest = np.flatnonzero(d == np.repeat(low, np.diff(first, append=len(r))))
+        winner = lowest[np.flatnonzero(np.diff(r[lowest], prepend=-1))]
+        best[lo : lo + rows], at[lo : lo + rows] = low, c[winner]
+    return best, at
+
 
-    ``|x|² - 2x·c + |c|²`` cancels, so it only screens: a center survives if rounding could put it
-    first, and a row with one survivor is decided. ``products`` (x·c) is overwritten.
+def _screen(
+    products: np.ndarray, x_sq: np.ndarray, width: int, model: Centers
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which centers may be nearest, by ``|x|² - 2x·c + |c|²`` from the ``products`` x·c.
+
+    That form cancels, so it only screens: a center survives if rounding could put it first. Returns
+    the survivors, the first of each row, the rows where several survive and the rows out of the
+    range in which the estimate holds (NaN, infinite, huge). ``products`` becomes the estimate
+    without ``|x|²``.
     """
     products *= -2.0
-    products += c_sq
-    low = products.min(axis=1)
-    scale = x_sq + c_sq.max()
+    products += model.squares
+    scale = x_sq + model.squares.max()
     slack = 16.0 * (width + 4) * np.finfo(np.float64).eps * scale
-    survivors = products <= (low + slack)[:, None]
-    unsure = (survivors.sum(axis=1) != 1) | ~(scale < LARGEST / 8)
-    return survivors.argmax(axis=1), np.flatnonzero(unsure)
+    survivors = products <= (products.min(axis=1) + slack)[:, None]
+    number = survivors.sum(axis=1)
+    odd = (number == 0) | ~(scale < LARGEST / 8)
+    tied = (number > 1) & ~odd
+    return survivors, survivors.argmax(axis=1), np.flatnonzero(tied), np.flatnonzero(odd)
 
 
 def _search_tile(
@@ -118,20 +153,23 @@ def _search_tile(
 
     A returned distance is always the exact one.
     """
-    c = model.matrix
-    c_sq = np.einsum("ij,ij->i", c, c)
-    at, unsure = _screen(x @ c.T, np.einsum("ij,ij->i", x, x), c_sq, x.shape[1])
-    best = _exact(x, c[at]) if distances else None
-    if len(unsure):
-        rechecked, at[unsure] = _search_all(x[unsure], model)
-        if distances:
-            best[unsure] = rechecked
+    x_sq = np.einsum("ij,ij->i", x, x)
+    survivors, at, tied, odd = _screen(x @ model.matrix.T, x_sq, x.shape[1], model)
+    best = _exact(x, model.matrix[at]) if distances else None
+    for rows, found in (
+        (tied, _compare(x[tied], survivors[tied], model) if len(tied) else None),
+        (odd, _search_all(x[odd], model) if len(odd) else None),
+    ):
+        if found is not None:
+            at[rows] = found[1]
+            if distances:
+                best[rows] = found[0]
     return best, at
 
 
 def _tiles(x: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Row slices whose working matrices stay in the processor cache."""
-    rows = max(1, TILE_CELLS // max(k, x.shape[1], 1))
+    """Row slices whose working matrices stay in the processor cache where possible."""
+    rows = max(LEAST_TILE_ROWS, TILE_CELLS // max(k, x.shape[1], 1))
     for i in range(0, len(x), rows):
         yield x[i : i + rows]
 
@@ -148,7 +186,7 @@ def search(
     if k == 0 or not len(x):
         return np.full(len(x), LARGEST), np.full(len(x), NO_CENTER, np.int64)
     with np.errstate(over="ignore", invalid="ignore"):
-        if not np.isfinite(np.einsum("ij,ij->i", model.matrix, model.matrix)).all():
+        if not np.isfinite(model.squares).all():
             return _search_all(x, model)
         best, at = zip(*(_search_tile(tile, model, distances) for tile in _tiles(x, k)))
     return (np.concatenate(best) if distances else None), np.concatenate(at)
@@ -166,8 +204,8 @@ def _row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def search_sparse(column: pa.StructArray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`search` for sparse structs, touching stored entries only.
 
-    The distance is ``|c|² + Σ x(x - 2c)`` over the stored entries. Rows it cannot decide are
-    filled up and compared exactly, a few at a time.
+    The distance is ``|c|² + Σ x(x - 2c)`` over the stored entries. A row it cannot decide is filled
+    up and compared exactly with the centers that remain.
     """
     k, width = model.matrix.shape
     size = column.field("size").to_numpy(zero_copy_only=False)
@@ -184,25 +222,26 @@ def search_sparse(column: pa.StructArray, model: Centers) -> tuple[np.ndarray, n
     if k == 0:
         return best, at
     with np.errstate(over="ignore", invalid="ignore"):
-        by_dim = np.ascontiguousarray(model.matrix.T)
-        c_sq = np.einsum("ij,ij->j", by_dim, by_dim)
         x_sq = _row_sums(val * val, starts)
         step = max(1, TILE_CELLS // max(k, int(np.diff(starts).max(initial=1)) * k))
-        dense_step = max(1, TILE_CELLS // max(width, 1))
         for lo in range(0, len(size), step):
             hi = min(lo + step, len(size))
             cut = slice(starts[lo], starts[hi])
-            products = _row_sums(by_dim[idx[cut]] * val[cut, None], starts[lo : hi + 1] - starts[lo])
-            near, unsure = _screen(products.copy(), x_sq[lo:hi], c_sq, width)
+            products = model.by_dimension[idx[cut]] * val[cut, None]
+            products = _row_sums(products, starts[lo : hi + 1] - starts[lo])
+            survivors, near, tied, odd = _screen(products, x_sq[lo:hi], width, model)
             rows = np.arange(hi - lo)
             at[lo:hi] = near
-            best[lo:hi] = x_sq[lo:hi] - 2.0 * products[rows, near] + c_sq[near]
-            for u in range(0, len(unsure), dense_step):
-                some = unsure[u : u + dense_step]
-                x = np.zeros((len(some), width))
-                for r, row in enumerate(some + lo):
-                    x[r, idx[starts[row] : starts[row + 1]]] = val[starts[row] : starts[row + 1]]
-                best[some + lo], at[some + lo] = _search_all(x, model)
+            best[lo:hi] = x_sq[lo:hi] + products[rows, near]
+            for row in np.concatenate((tied, odd)):
+                x = np.zeros((1, width))
+                entries = slice(starts[lo + row], starts[lo + row + 1])
+                x[0, idx[entries]] = val[entries]
+                exact = survivors[row] if survivors[row].any() else np.ones(k, bool)
+                d = _exact(x, model.matrix[exact])
+                d = np.where(d < LARGEST, d, LARGEST)
+                best[lo + row] = d.min()
+                at[lo + row] = np.flatnonzero(exact)[d.argmin()] if d.min() < LARGEST else NO_CENTER
     return best, at
 
 
@@ -255,8 +294,7 @@ def _nearest_native(points: DataFrame, centers: DataFrame, features: str) -> Dat
 
 def center_blocks(centers: DataFrame, budget: int) -> tuple[DataFrame, int]:
     """Centers with a ``block`` number such that one block is expected to fill half the budget."""
-    size = centers.agg(F.sum(F.size("center").cast("bigint") * 8 + 8).alias("b")).first()["b"] or 0
-    blocks = max(1, math.ceil(2 * size / max(1, budget)))
+    blocks = max(1, math.ceil(2 * center_bytes(centers) / max(1, budget)))
     return centers.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")), blocks
 
 
@@ -303,19 +341,23 @@ def nearest_center(
     """Adds ``cid`` and ``sqdist`` of the nearest center to every dense or sparse point.
 
     Strictly smaller distances win, ties go to the smallest ``cid``. A point with no comparable
-    distance gets ``cid = -1`` and a NULL distance. ``engine='native'`` stays in the JVM.
+    distance gets ``cid = -1`` and a NULL distance. ``engine='native'`` stays in the JVM. Centers
+    beyond ``budget`` bytes are searched block by block with either engine.
     """
+    budget = model_budget(points.sparkSession) if budget is None else budget
     if engine == "native":
         if isinstance(centers, Centers):
             raise ValueError("the native engine takes the centers as a DataFrame")
-        found = _nearest_native(points, centers, features)
+        if center_bytes(centers) <= budget:
+            found = _nearest_native(points, centers, features)
+        else:
+            found, _ = nearest_by_blocks(points, centers, features, budget)
     elif engine == "arrow":
-        budget = model_budget(points.sparkSession) if budget is None else budget
         model = centers if isinstance(centers, Centers) else collect_centers(centers, budget)
-        if model is None:
-            found, _ = nearest_by_blocks(points, centers, features, budget)
-        else:
+        if model is not None:
             found = points.withColumn("_near", nearest_column(points, features, model))
+        else:
+            found, _ = nearest_by_blocks(points, centers, features, budget)
     else:
         raise ValueError(f"unknown engine: {engine}")
     return found.select(
