@@ -78,6 +78,18 @@ def test_near_ties_use_exact_distances():
     assert (want[np.arange(500), at] <= want.min(axis=1) * (1 + 1e-9)).all()
 
 
+def test_equal_centers_go_to_the_smallest_id():
+    rng = np.random.default_rng(9)
+    places = rng.normal(0, 1, (3, 50))
+    model = Centers(np.arange(900), np.repeat(places, 300, axis=0))
+    x = rng.normal(0, 1, (700, 50))
+    best, at = nearest.search(x, model)
+    want = ((x[:, None, :] - places[None]) ** 2).sum(axis=2)
+    assert (at == want.argmin(axis=1) * 300).all() and np.allclose(best, want.min(axis=1))
+    _, positions = nearest.search(x, model, distances=False)
+    assert (positions == at).all()
+
+
 def test_many_centers_use_the_grouped_sums():
     rng = np.random.default_rng(5)
     model = Centers(np.arange(400) * 3, rng.normal(0, 1, (400, 5)))
