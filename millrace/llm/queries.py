@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, token_counts
+from millrace.llm import bpe, exact_dedup, packing, quality, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"])
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.apply_rules(docs)
+    return judged.select("doc_id", "measured.*", "broken", "base_failed", "kept")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256"))
+    return exact_dedup.exact_groups(docs)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, BYTE_BPE).drop("text")
@@ -40,6 +52,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
     "op6_token_counts": op6_token_counts,
 }
