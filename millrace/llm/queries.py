@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, exact_dedup, packing, quality, token_counts
+from millrace.llm import bpe, chat, exact_dedup, packing, quality, token_counts, warc
+from millrace.plans.scratch import new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,11 +78,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    fields = F.col("metadata.payload").cast("string")
+    return warc.assemble(spark, path).select(
+        F.regexp_extract(fields, r"(?m)^page_id: (-?\d+)", 1).try_cast("long").alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        "response.record_type",
+        warc.page_of(F.col("response.refers_to")).alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op10_chat_format": op10_chat_format,
 }
