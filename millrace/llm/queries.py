@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, exact_dedup, packing, quality, token_counts, warc
+from millrace.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    token_counts,
+    warc,
+)
 from millrace.plans.scratch import new_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +62,25 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, WORD_BPE).drop("text")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_spread_lines(docs).drop("source")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    profiles = language_id.learn(docs.filter(remainder != 2))
+    held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
+    judged = language_id.predict(docs.select("doc_id", held_out, "text"), profiles)
+    return judged.drop("text")
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_groups(docs)
+
+
 #: A conversation whose texts hold control strings, added to those of the table.
 CONTROL_CONVERSATION, CONTROL_TEXT = -7, r"\### Assistant: </turn> ok"
 
@@ -98,6 +128,9 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
