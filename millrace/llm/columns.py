@@ -18,3 +18,8 @@ def text_or_empty(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only; a null stays null."""
     return F.translate(text, UPPER, LOWER)
+
+
+def computed_once(value: Column) -> Column:
+    """``value`` behind a generator of one row, so that no filter on it is pushed below and computes it anew."""
+    return F.explode(F.array(value))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.columns import WORD_GAP, text_or_empty
+from millrace.llm.columns import WORD_GAP, computed_once, text_or_empty
 
 SYMBOLS, PUNCTUATION, GAPS = "#*$%&|<>", ".,;:!?", " \t\n\x0b\x0c\r"
 
@@ -78,29 +78,27 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def lines_that(pattern: str) -> Column:
         return _count(F.filter(line, lambda x: x.rlike(pattern)))
 
-    return (
+    arrays = (
         docs.withColumn("_q_words", F.filter(F.split(text, WORD_GAP), lambda x: x != ""))
         .withColumn("_q_lines", F.filter(F.split(text, "\n"), _has_word))
         .withColumn("_q_windows", windows)
         .withColumn("_q_starts", _repeated_starts(F.col("_q_windows")))
-        .withColumn(
-            "measured",
-            F.struct(
-                _count(w).alias("n_words"),
-                _without(text, GAPS).alias("word_chars"),
-                (F.length(text) - _without(text, SYMBOLS)).alias("n_symbols"),
-                (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
-                _covered(F.col("_q_starts")).alias("n_repeat_words"),
-                _count(line).alias("n_lines"),
-                words_that(lambda x: x.endswith("!")).alias("n_exclaimed"),
-                words_that(lambda x: F.rtrim(F.lower(x), F.lit(PUNCTUATION)).isin(stop)).alias("n_stop_words"),
-                words_that(lambda x: x.rlike(r"\p{L}")).alias("n_lettered"),
-                lines_that(r"^\s*[-*•]").alias("n_bullets"),
-                lines_that(r"(\.\.\.|…)\s*$").alias("n_ellipses"),
-            ),
-        )
-        .drop("_q_words", "_q_lines", "_q_windows", "_q_starts")
     )
+    counts = F.struct(
+        _count(w).alias("n_words"),
+        _without(text, GAPS).alias("word_chars"),
+        (F.length(text) - _without(text, SYMBOLS)).alias("n_symbols"),
+        (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
+        _covered(F.col("_q_starts")).alias("n_repeat_words"),
+        _count(line).alias("n_lines"),
+        words_that(lambda x: x.endswith("!")).alias("n_exclaimed"),
+        words_that(lambda x: F.rtrim(F.lower(x), F.lit(PUNCTUATION)).isin(stop)).alias("n_stop_words"),
+        words_that(lambda x: x.rlike(r"\p{L}")).alias("n_lettered"),
+        lines_that(r"^\s*[-*•]").alias("n_bullets"),
+        lines_that(r"(\.\.\.|…)\s*$").alias("n_ellipses"),
+    )
+    others = [c for c in docs.columns if c.lower() != "measured"]
+    return arrays.select(*others, computed_once(counts).alias("measured"))
 
 
 def _repeated_starts(windows: Column) -> Column:
