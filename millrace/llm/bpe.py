@@ -21,17 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.memo import Memo
-from millrace.llm.vocabulary import ChunkEncoder, broadcast_file
+from millrace.llm.vocabulary import ChunkEncoder, broadcast_file, byte_alphabet
 
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins by which byte-level vocabularies write the 256 bytes."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def token_bytes(model: str) -> dict[int, bytes]:
     """Id to bytes for every token; special tokens stand for their own text."""
     from tokenizers import Tokenizer

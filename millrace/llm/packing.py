@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.memo import Memo
-from millrace.llm.vocabulary import ChunkEncoder, broadcast_file
+from millrace.llm.vocabulary import WordEncoder, broadcast_file
 from millrace.plans.scratch import write_and_read
 
 CAPACITY = 2048
@@ -49,8 +49,8 @@ def token_pieces(
     """One row per piece: the other columns of ``docs``, ``piece``, ``start``, ``length``,
     ``ids_crc32`` and, with ``keep_ids``, ``ids``.
 
-    ``vocabulary`` is a file of the ``tokenizers`` library whose normaliser and splitter never look
-    across white space (they drop it), so texts may be encoded word by word. A null text counts as
+    ``vocabulary`` is a file of the ``tokenizers`` library in lower case, whose splitter drops white
+    space and parts letters from punctuation, so texts may be encoded word by word. A null text counts as
     empty; every document ends with ``end_id``, so each has at least one piece. Repeated rows give
     repeated pieces. A column of ``docs`` named like a result column is replaced.
     """
@@ -59,7 +59,7 @@ def token_pieces(
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        memo = Memo(ChunkEncoder(model.value))
+        memo = Memo(WordEncoder(model.value), limit=250_000)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             counts, starts, lengths, sums, kept = [0], [], [], [], []

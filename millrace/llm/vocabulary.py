@@ -11,12 +11,21 @@ import array
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from millrace.llm.memo import Memo
+
 
 def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins by which byte-level vocabularies write the 256 bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
     """Ids of many short strings in one call of the library, each as if it were a text of its own.
 
@@ -52,6 +61,45 @@ class ChunkEncoder:
         return out
 
 
+class WordEncoder(ChunkEncoder):
+    """The same for byte-level vocabularies in lower case that split letters from punctuation.
+
+    Many strings are a word and a full stop or comma, in some case. Of those whose letters are all
+    Latin (below U+0180, where lower-casing is the same everywhere and normalising changes nothing),
+    the word in lower case and the punctuation are remembered apart. Such a word is all that the
+    library's merging needs, so it is handed to that directly.
+    """
+
+    def __init__(self, model: str, limit: int = 250_000):
+        super().__init__(model)
+        self.parts = Memo(self._encoded, limit)
+        self.letter = {b: c for c, b in byte_alphabet().items()}
+
+    def __call__(self, strings: list[str]) -> list[bytes]:
+        parts, ends = [], []
+        for s in strings:
+            word = s.rstrip(".,")
+            if word.isalpha() and max(word) < "\u0180":
+                parts += (word.lower(), s[len(word) :])
+            else:
+                parts.append(s)
+            ends.append(len(parts))
+        found, start, out = self.parts.many(parts), 0, []
+        for end in ends:
+            out.append(found[start] if end - start == 1 else found[start] + found[start + 1])
+            start = end
+        return out
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        simple = [p.isalpha() and max(p) < "\u0180" for p in parts]
+        others = iter(super().__call__([p for p, s in zip(parts, simple, strict=True) if not s]))
+        return [self._word(p) if s else next(others) for p, s in zip(parts, simple, strict=True)]
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode()))
+        return _packed([token.id for token in self.tokenizer.model.tokenize(letters)])
+
+
 def _packed(ids: list[int]) -> bytes:
     return array.array("I", ids).tobytes()
 
