@@ -6,8 +6,8 @@ document alone in its group leaves, and so does a group whose bytes have ended:
 by byte, without any digest. Only documents that still share their group go on to the next round.
 
 A round first counts the groups, with partial counts before the shuffle, and keeps those of two and
-more. Their table then meets the documents in a join whose two sides Spark can split where one group
-is large; it is broadcast only below the session's threshold. No group is ever gathered.
+more. Their table then meets the documents in a sorted join whose two sides Spark can split where one
+group is large. No group is ever gathered.
 """
 
 from __future__ import annotations
@@ -110,4 +110,5 @@ def _shared(rows: DataFrame, keys: list[str], *counts: Column) -> DataFrame:
 
 
 def _meet(rows: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(shared, keys, "left")
+    """By sorting on both sides at every size: the groups grow with the corpus, so none is broadcast."""
+    return rows.join(shared.hint("merge"), keys, "left")
