@@ -84,7 +84,7 @@ def remove_spread_lines(
     )
     hits = write_and_read(hits, "line-hits")
     others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    marked = docs.select(*others).join(hits, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    marked = docs.select(*others).join(hits.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     all_lines = F.split(F.col(text_col), "\n")
     left = F.filter(
         F.col("_lines"),

@@ -11,9 +11,9 @@ Two documents are linked if their sets of distinct five-word shingles have a sim
 * A shingle that only one of those sets has lies in no intersection. Counting them bounds every
   similarity from above, exactly: sets that cannot reach the threshold with anything leave.
 * In each bucket the set with the smallest share of such shingles is the center; the others are
-  verified against it, and links merge into components. Buckets whose members still belong to several
-  components, and are near enough by the bound, have the members outside the largest component
-  verified against the others. No bucket is capped or skipped, nor are all its pairs formed.
+  verified against it, and links merge into components. Sets of buckets whose members still belong to
+  several components are searched by an exact prefix filter on their rarest shingles, and what that
+  finds across components is verified. No bucket is capped or skipped, nor are all its pairs formed.
 
 Equal sets are one node from the start. Sets, links and components stay in distributed tables; each
 step that is used more than once is written to the shared folder.
@@ -259,7 +259,7 @@ def _links(texts: DataFrame, nodes: DataFrame, run: _Run) -> DataFrame:
         .filter(F.size("halves") > 1),
         "candidates",
     )
-    sets = run.keep(_candidate_sets(texts, shared), "sets")
+    sets = run.keep(_candidate_sets(texts, shared, run), "sets")
     alone = (
         sets.select("node", F.explode("shingles").alias("shingle"))
         .groupBy("shingle")
@@ -298,22 +298,19 @@ def _links(texts: DataFrame, nodes: DataFrame, run: _Run) -> DataFrame:
         .distinct()
     )
     found = run.keep(_verified(stars, sets), "links")
-    rest = _verified(_unresolved(table, centers, connected(found, run), run), sets)
+    rest = _verified(_unresolved(table, centers, connected(found, run), sets, run), sets)
     return run.keep(found.unionByName(rest), "all-links")
 
 
-def _candidate_sets(texts: DataFrame, shared: DataFrame) -> DataFrame:
+def _candidate_sets(texts: DataFrame, shared: DataFrame, run: _Run) -> DataFrame:
     """``node`` and ``shingles`` of the candidates, made again from their texts.
 
     Texts are found by id; as ids may be repeated, what counts in the end is the set's digest.
     """
     wanted = shared.select(F.col("id").alias("own"), "digest", "node")
-    again = (
-        texts.join(wanted.select("own"), F.col("id").eqNullSafe(F.col("own")), "left_semi")
-        .distinct()
-        .withColumn("s", signatures(F.col("text")))
-        .select("text", F.col("s.digest").alias("digest"))
-    )
+    found = texts.join(wanted.select("own").hint("merge"), F.col("id").eqNullSafe(F.col("own")), "left_semi")
+    found = run.keep(found.distinct(), "candidate-texts")  # written, or all texts would be signed again
+    again = found.select("text", signatures(F.col("text"))["digest"].alias("digest"))
     made = again.join(wanted, "digest").select("node", shingle_sets(F.col("text")).alias("shingles"))
     return made
 
@@ -331,37 +328,53 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _unresolved(table: DataFrame, centers: DataFrame, stars: DataFrame, run: _Run) -> DataFrame:
-    """Pairs across components that meet in a bucket and are not ruled out by the bound.
+def _unresolved(table: DataFrame, centers: DataFrame, stars: DataFrame, sets: DataFrame, run: _Run) -> DataFrame:
+    """Pairs across components that may be linked, among sets of buckets with several components.
 
-    In each bucket, members that no other member's size lets reach the threshold leave; if the rest
-    belongs to several components, those outside the one with most members meet the others.
+    In each bucket, members that no other member's size lets reach the threshold leave; where the rest
+    belongs to several components, its sets are searched by an exact prefix filter: with shingles in
+    order of how many of these sets hold them, rarest first, two sets with o shingles in common share
+    one of their first n - o + 1. The first shingles of an edited copy are its edits, so even in a
+    large family of copies few sets share them.
     """
     members = table.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = table.join(centers, "bucket", "left_semi").groupBy("bucket").agg(F.min("n").alias("least"))
     smallest = run.keep(smallest, "smallest")
     alive = run.keep(
-        members.join(smallest, "bucket")
-        .filter(_within_reach(F.col("n"), F.col("least"), F.col("common")))
-        .drop("least"),
+        members.join(smallest, "bucket").filter(_within_reach(F.col("n"), F.col("least"), F.col("common"))),
         "alive",
     )
-    sizes = alive.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    major = run.keep(
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        .filter("parts > 1")
-        .select("bucket", F.col("most.component").alias("major")),
-        "major",
+    parts = alive.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"))
+    several = run.keep(parts.filter("p != q").select("bucket"), "several")
+    open_ = run.keep(
+        alive.join(several, "bucket", "left_semi")
+        .groupBy("node")
+        .agg(F.min("n").alias("n"), F.min("component").alias("component"), F.min("least").alias("least")),
+        "open",
+    )
+    held = run.keep(open_.join(sets, "node").withColumn("shingle", F.explode("shingles")).drop("shingles"), "held")
+    holders = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    ranked = held.join(run.keep(holders, "holders"), "shingle", "left")
+    in_order = F.sort_array(F.collect_set(F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "shingle")))
+    # a partner has at least LEAST / OF of the set's size, and the least size met in its buckets
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * LEAST / OF))
+    common = F.ceil((F.col("n") + partner) * LEAST / (OF + LEAST))
+    first = (
+        ranked.groupBy("node", "n", "component", "least")
+        .agg(in_order.alias("shingles"))
+        .select("node", "n", "component", F.slice("shingles", F.lit(1), (F.col("n") - common + 1).cast("int")).alias("first"))
+        .select("node", "n", "component", F.posexplode("first").alias("at", "x"))
+        .filter("x.holders > 1")
+        .select("node", F.col("n"), (F.col("n") - F.col("at")).alias("left"), "component", "x.shingle")
     )
-    open_ = run.keep(alive.join(major, "bucket"), "open")
-    minor = open_.filter("component != major").select(
-        "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("common").alias("most"),
+    first = run.keep(first, "first-shingles")
+    one = first.select(
+        "shingle", F.col("node").alias("a"), F.col("n").alias("m"), F.col("left").alias("most"),
         F.col("component").alias("own"),
     )
-    reach = _within_reach(F.col("n"), F.col("m"), F.least("common", "most"))
-    once = (F.col("component") == F.col("major")) | (F.col("a") < F.col("node"))
-    met = minor.join(open_, "bucket").filter((F.col("own") != F.col("component")) & once & reach)
+    # if it is the first they share, no more can be common than what either has from there on
+    reach = _within_reach(F.col("n"), F.col("m"), F.least("left", "most"))
+    met = one.join(first, "shingle").filter((F.col("own") < F.col("component")) & reach)
     return met.select("a", F.col("node").alias("b")).distinct()
 
 
