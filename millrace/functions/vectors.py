@@ -60,17 +60,21 @@ def sqdist_sparse(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def sqdist_sparse_dense(sparse: ColumnLike, dense: ColumnLike) -> Column:
-    """Squared distance of a sparse and a dense vector in O(d + nnz).
+    """Squared distance of a sparse and a dense vector in O(d + nnz), as a sum of exact squares.
 
-    The dense square sum counts every position; each stored position then swaps its share ``c²`` for
-    ``(x - c)²``.
+    Stored positions meet the dense ones by index; ``|x|² - 2x·c + |c|²`` would cancel where a large
+    value lies next to its center.
     """
     s, c = _col(sparse), as_doubles(dense)
-    norm = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)
-    stored = F.zip_with(
-        s["indices"], s["values"], lambda i, x: x * (x - 2.0 * F.get(c, i))
+    zero, d = F.lit(0.0), F.size(c)
+    places = F.when(d > 0, F.sequence(F.lit(0), d - 1)).otherwise(F.array().cast("array<int>"))
+    diffs = F.map_zip_with(
+        F.map_from_arrays(places, c),
+        F.map_from_arrays(s["indices"].cast("array<int>"), s["values"].cast("array<double>")),
+        lambda _, y, x: F.coalesce(x, zero) - F.coalesce(y, zero),
     )
-    return _same_size(s["size"], F.size(c), norm + _sum(stored))
+    total = F.aggregate(F.map_values(diffs), zero, lambda acc, x: acc + x * x)
+    return _same_size(s["size"], d, total)
 
 
 def sqdist_dense_sparse(dense: ColumnLike, sparse: ColumnLike) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import entries_of_hashes, hashed_entries, token_hashes
 from millrace.operators.sampling import sample_poisson, sample_with_replacement
+from millrace.plans.scratch import write_and_read
 
 Stats = Mapping[str, tuple[float, float]]
 
@@ -177,14 +178,19 @@ def standardize_and_hash(
 ) -> DataFrame:
     """The whole preparation job: sample, standardise, hash; returns LibSVM text in ``value``.
 
-    With ``key`` the sample depends on row keys only, so the statistics and the transformation see
-    the same rows whatever the partitioning; without it Spark's sampler is used.
+    A declared row count ``n`` is that of ``df``; the statistics divide by ``n * fraction``, the
+    declared size of the sample. With ``key`` the sample depends on row keys only, so the statistics
+    and the transformation see the same rows whatever the partitioning; without it Spark's sampler
+    is used, and its sample written once, so that both see the same one.
     """
     if key is not None:
         sampled = sample_poisson(df, key, fraction, seed)
     else:
         sampled = sample_with_replacement(df, fraction, seed)
-    ready = prepare(sampled, label, int_cols, cat_cols, num_features, missing, n)
+        if fraction != 1.0:
+            sampled = write_and_read(sampled, "sample")
+    declared = None if n is None else n * fraction
+    ready = prepare(sampled, label, int_cols, cat_cols, num_features, missing, declared)
     return ready.select(libsvm_line(label, len(int_cols), digits).alias("value"))
 
 

@@ -26,6 +26,8 @@ LARGEST = np.finfo(np.float64).max
 TILE_CELLS = 1 << 17
 LEAST_TILE_ROWS = 64
 ONE_HOT_CENTERS = 256
+# Below this part of |x|² + |c|², the short form of a sparse distance is replaced by the exact one.
+CANCELLING = 1e-3
 NEAREST_TYPE = "struct<sqdist:double,cid:int>"
 
 
@@ -40,6 +42,8 @@ class Centers:
     def of(cls, rows: Iterable) -> Centers:
         rows = sorted(rows, key=lambda r: r["cid"])
         ids = np.array([r["cid"] for r in rows], np.int64)
+        if len(ids) and (ids[0] < NO_CENTER or ids[-1] > np.iinfo(np.int32).max):
+            raise ValueError(f"center ids must fit INT: {ids[0]} to {ids[-1]}")
         widths = {len(r["center"]) for r in rows}
         if len(widths) > 1:
             raise ValueError(f"centers differ in dimension: {sorted(widths)}")
@@ -204,8 +208,9 @@ def _row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def search_sparse(column: pa.StructArray, model: Centers) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`search` for sparse structs, touching stored entries only.
 
-    The distance is ``|c|² + Σ x(x - 2c)`` over the stored entries. A row it cannot decide is filled
-    up and compared exactly with the centers that remain.
+    ``|c|² + Σ x(x - 2c)`` over the stored entries finds the nearest center. A row it cannot decide,
+    or whose distance is so small against the squares that cancelling would show, is filled up and
+    compared exactly with the centers that remain.
     """
     k, width = model.matrix.shape
     size = column.field("size").to_numpy(zero_copy_only=False)
@@ -233,7 +238,8 @@ def search_sparse(column: pa.StructArray, model: Centers) -> tuple[np.ndarray, n
             rows = np.arange(hi - lo)
             at[lo:hi] = near
             best[lo:hi] = x_sq[lo:hi] + products[rows, near]
-            for row in np.concatenate((tied, odd)):
+            cancelled = np.flatnonzero(best[lo:hi] < CANCELLING * (x_sq[lo:hi] + model.squares[near]))
+            for row in np.union1d(np.concatenate((tied, odd)), cancelled):
                 x = np.zeros((1, width))
                 entries = slice(starts[lo + row], starts[lo + row + 1])
                 x[0, idx[entries]] = val[entries]
@@ -380,14 +386,18 @@ def clustering_cost(
 # --- sums by cluster -----------------------------------------------------------------------------
 
 SUM_TYPE = "cid int, dim int, x double, n bigint"
+# Stands for a null key within a task; no INT key has this value.
+NULL_KEY = -(2**63)
 
 
-def sum_rows(ids: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def sum_rows(
+    ids: np.ndarray, sums: np.ndarray, counts: np.ndarray, id_type: pa.DataType = pa.int32()
+) -> pa.RecordBatch:
     """Long-form partial sums: one row per (cluster, dimension), dimensions from 0."""
     k, d = sums.shape
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.repeat(ids.astype(np.int32), d)),
+            pa.array(np.repeat(ids, d), id_type),
             pa.array(np.tile(np.arange(d, dtype=np.int32), k)),
             pa.array(sums.reshape(-1)),
             pa.array(np.repeat(counts.astype(np.int64), d)),
@@ -447,19 +457,25 @@ def vector_sums(
 ) -> DataFrame:
     """Element-wise sums and counts by an integer key, as ``(cid, dim, x, n)``, dim from 0.
 
-    Tasks add up their rows first, so a key that holds a third of all rows sends no more than any
-    other. A task's table of sums is emitted and restarted whenever it outgrows the model budget.
+    Rows with a null key add up under a null ``cid``; vectors of different length are an error, within
+    a task and across. Tasks add up their rows first, so a key that holds a third of all rows sends no
+    more than any other. A task's table of sums is emitted and restarted whenever it outgrows the model budget.
     """
     if engine == "native":
         parts = df.select(
             F.col(key).cast("int").alias("cid"),
+            F.size(features).alias("width"),
             F.posexplode(F.col(features).cast("array<double>")).alias("dim", "x"),
         )
-        return parts.groupBy("cid", "dim").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+        return _checked(parts.withColumn("n", F.lit(1).cast("bigint")))
     if engine != "arrow":
         raise ValueError(f"unknown engine: {engine}")
     limit = model_budget(df.sparkSession)
 
+    def wide_rows(ids: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        width = pa.array(np.full(sums.size, sums.shape[1], np.int32))
+        return sum_rows(ids, sums, counts, pa.int64()).append_column("width", width)
+
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sums, counts = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
         for batch in batches:
@@ -468,7 +484,7 @@ def vector_sums(
             x = vector_matrix(batch.column(1), None if sums is None else sums.shape[1])
             if sums is None:
                 sums = np.zeros((0, x.shape[1]))
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
             merged = np.union1d(ids, keys)
             if len(merged) != len(ids):
                 grown, n = np.zeros((len(merged), x.shape[1])), np.zeros(len(merged), np.int64)
@@ -477,14 +493,27 @@ def vector_sums(
                 ids, sums, counts = merged, grown, n
             add_by_position(sums, counts, x, np.searchsorted(ids, keys))
             if sums.nbytes > limit:
-                yield sum_rows(ids, sums, counts)
+                yield wide_rows(ids, sums, counts)
                 ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 sums = np.zeros((0, x.shape[1]))
         if sums is not None and len(ids):
-            yield sum_rows(ids, sums, counts)
+            yield wide_rows(ids, sums, counts)
+
+    picked = df.select(F.col(key).cast("int").cast("bigint").alias("cid"), features)
+    sums = _checked(picked.mapInArrow(partial_sums, "cid bigint, dim int, x double, n bigint, width int"))
+    cid = F.when(F.col("cid") != NULL_KEY, F.col("cid")).cast("int").alias("cid")
+    return sums.select(cid, "dim", "x", "n")
 
-    picked = df.select(F.col(key).cast("int").alias("cid"), features)
-    return _combine(picked.mapInArrow(partial_sums, SUM_TYPE))
+
+def _checked(parts: DataFrame) -> DataFrame:
+    """Adds up by (cid, dim); vectors of different length meet at dimension 0 and are an error."""
+    message = F.lit("vectors differ in dimension within one cluster")
+    sums = parts.groupBy("cid", "dim").agg(
+        F.sum("x").alias("x"), F.sum("n").alias("n"), F.min("width").alias("least"), F.max("width").alias("most")
+    )
+    same = F.col("least") == F.col("most")
+    n = F.when(same, F.col("n")).otherwise(F.raise_error(message).cast("bigint"))
+    return sums.select("cid", "dim", "x", n.alias("n"))
 
 
 def means_of(sums: DataFrame) -> DataFrame:

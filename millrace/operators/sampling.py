@@ -10,11 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.uniform import keyed_digest, keyed_uniform
-from millrace.plans.limits import estimated_bytes
 
 TASK_BYTES = 128 * 1024 * 1024
-# Rows that the last task of a top-k may have to merge.
-MERGED_ROWS = 200_000
 
 # exp(-mean) must stay well above the smallest double; larger means are split into parts.
 POISSON_PART = 64.0
@@ -22,37 +19,22 @@ POISSON_PART = 64.0
 LARGEST_UNIFORM = 1.0 - 2.0**-32
 
 
-def _leading_zeros(digest: Column) -> Column:
-    """Zero hex digits at the front of a digest: each more keeps a sixteenth of the rows."""
-    return F.length(digest) - F.length(F.ltrim(digest, F.lit("0")))
-
-
-def _front_rows(df: DataFrame, digest: Column, k: int) -> DataFrame:
-    """The rows whose digests start with the most zeros that at least k rows share.
-
-    One pass counts the rows by number of zeros, a handful of counts per task. What is kept holds
-    the k smallest digests for certain and is at most a few dozen times k rows in expectation.
-    """
-    counts = df.groupBy(_leading_zeros(digest).alias("zeros")).count().collect()
-    enough = 0
-    for zeros in sorted((r["zeros"] for r in counts), reverse=True):
-        if sum(r["count"] for r in counts if r["zeros"] >= zeros) >= k:
-            enough = zeros
-            break
-    return df.filter(_leading_zeros(digest) >= enough) if enough else df
+def _text_key(key: str) -> Column:
+    """The key as text; a null is a key of its own, so its rows are sampled like any others."""
+    return F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
 
 
 def sample_k(df: DataFrame, key: str, k: int, seed: int = 42, partial: int | None = None) -> DataFrame:
-    """Exactly k rows without replacement (all rows if there are fewer).
+    """Exactly k rows without replacement (all rows if there are fewer); null keys take part.
 
-    Sorting by digest with a limit is a per-task top-k and one merge of k rows from every task;
-    nothing is sorted globally. Where that merge would exceed ``partial`` rows by the estimated
-    size of the input, rows far from the front of the order are filtered out beforehand.
+    The k-th smallest digest is found on the key alone, as a top-k per task and one merge of k digests
+    from every task; only rows up to it, k but for repeated keys, take part in the sort with their
+    payload. Nothing is estimated or run while planning. ``partial`` has no effect any more.
     """
-    digest = keyed_digest(seed, F.col(key))
-    tasks = 1 + estimated_bytes(df) // TASK_BYTES
-    if tasks * k > (MERGED_ROWS if partial is None else partial):
-        df = _front_rows(df, digest, k)
+    digest = keyed_digest(seed, _text_key(key))
+    if df.columns != [key]:
+        smallest = df.select(digest.alias("digest")).orderBy("digest").limit(k)
+        df = df.filter(digest <= smallest.agg(F.max("digest")).scalar())
     return df.orderBy(digest, F.col(key)).limit(k)
 
 
@@ -63,7 +45,7 @@ def initial_centers(
 
     The window runs over the k sampled rows, never over the points.
     """
-    order = Window.orderBy(keyed_digest(seed, F.col(key)), F.col(key))
+    order = Window.orderBy(keyed_digest(seed, _text_key(key)), F.col(key))
     picked = sample_k(points.select(key, features), key, k, seed)
     return picked.select(
         (F.row_number().over(order) - 1).alias("cid"),
@@ -99,7 +81,7 @@ def sample_poisson(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
     parts = [POISSON_PART] * int(fraction // POISSON_PART)
     parts += [p for p in [fraction - POISSON_PART * len(parts)] if p > 0]
     uniforms = {
-        f"_u{i}": keyed_uniform(seed, F.concat(F.col(key).cast("string"), F.lit(f"#{i}")))
+        f"_u{i}": keyed_uniform(seed, F.concat(_text_key(key), F.lit(f"#{i}")))
         for i in range(len(parts))
     }
     reached = [

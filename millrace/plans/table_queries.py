@@ -72,9 +72,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, key: str) -> DataFrame:
     """Keeps all cores busy on a table that is one small file; larger tables pass untouched."""
-    return parallelism.at_least(df, df.sparkSession.sparkContext.defaultParallelism)
+    return parallelism.at_least(df, df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").drop("ts")
-    return _spread(events).selectExpr(*CLICKLOG_COLUMNS)
+    return _spread(events, "event_id").selectExpr(*CLICKLOG_COLUMNS)
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
