@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.uniform import counter_ints, counter_values
-from millrace.operators.sampling import TASK_BYTES, initial_centers
+from millrace.operators.sampling import TASK_BYTES, initial_centers, sample_k
 
 # Settings of the published benchmark workload.
 DEFAULT_SEED = 42
@@ -141,9 +141,14 @@ def gaussian_mixture(
     if partitions is None:
         needed = math.ceil(n * mixture.d * BYTES_PER_VALUE / TASK_BYTES)
         partitions = max(spark.sparkContext.defaultParallelism, needed)
-    ids = spark.range(0, n, 1, partitions)
-    points = mixture_points(ids.withColumnRenamed("id", "point_id"), mixture)
+    ids = spark.range(0, n, 1, partitions).withColumnRenamed("id", "point_id")
+    points = mixture_points(ids, mixture)
     cids = spark.range(mixture.k).select(F.col("id").cast("int").alias("cid"))
     centers = mixture_centers(cids, mixture)
-    init = initial_centers(points, "point_id", mixture.k, mixture.seed)
-    return points, centers, init
+    return points, centers, mixture_init(ids, mixture, mixture.k)
+
+
+def mixture_init(ids: DataFrame, mixture: Mixture, k: int, key: str = "point_id") -> DataFrame:
+    """k of the points at ``ids`` as ``(cid, center)``; the ids are sampled before any point is drawn."""
+    picked = sample_k(ids.select(key), key, k, mixture.seed)
+    return initial_centers(mixture_points(picked, mixture, key), key, k, mixture.seed)

@@ -239,18 +239,31 @@ def search_sparse(column: pa.StructArray, model: Centers) -> tuple[np.ndarray, n
             at[lo:hi] = near
             best[lo:hi] = x_sq[lo:hi] + products[rows, near]
             cancelled = np.flatnonzero(best[lo:hi] < CANCELLING * (x_sq[lo:hi] + model.squares[near]))
-            for row in np.union1d(np.concatenate((tied, odd)), cancelled):
-                x = np.zeros((1, width))
-                entries = slice(starts[lo + row], starts[lo + row + 1])
-                x[0, idx[entries]] = val[entries]
-                exact = survivors[row] if survivors[row].any() else np.ones(k, bool)
-                d = _exact(x, model.matrix[exact])
-                d = np.where(d < LARGEST, d, LARGEST)
-                best[lo + row] = d.min()
-                at[lo + row] = np.flatnonzero(exact)[d.argmin()] if d.min() < LARGEST else NO_CENTER
+            close = np.setdiff1d(np.union1d(tied, cancelled), odd)
+            some = max(1, TILE_CELLS // max(1, width))
+            for i in range(0, len(close), some):
+                part = close[i : i + some]
+                x = _filled(lo + part, starts, idx, val, width)
+                best[lo + part], at[lo + part] = _compare(x, survivors[part], model)
+            for i in range(0, len(odd), some):
+                part = odd[i : i + some]
+                x = _filled(lo + part, starts, idx, val, width)
+                best[lo + part], at[lo + part] = _search_all(x, model)
     return best, at
 
 
+def _filled(
+    rows: np.ndarray, starts: np.ndarray, idx: np.ndarray, val: np.ndarray, width: int
+) -> np.ndarray:
+    """These rows of a sparse batch as a matrix."""
+    lengths = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(lengths)
+    entries = np.arange(lengths.sum()) + np.repeat(starts[rows] - (ends - lengths), lengths)
+    x = np.zeros((len(rows), width))
+    x[np.repeat(np.arange(len(rows)), lengths), idx[entries]] = val[entries]
+    return x
+
+
 def _ids(at: np.ndarray, model: Centers) -> np.ndarray:
     return np.append(model.ids, NO_CENTER)[at].astype(np.int32)
 

@@ -1,8 +1,8 @@
 """Run-time summaries over ``experiment(id, suite, name)`` and
 ``experiment_run(experiment_id, run, time)``, times in milliseconds.
 
-The runs are never shuffled as such: tasks reduce them to counts per bin first, so an experiment
-that holds a third of all runs sends no more rows than its times have bins.
+A profile never shuffles the runs as such: tasks reduce them to counts by experiment and bin, or by
+experiment and time, before any join, so one that holds a third of all runs is no hot key.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.scratch import write_and_read
-
 BIN_BITS = 12
 # Bin of runs without a time: below every bin of a real one.
 NO_TIME_BIN = -(1 << 63)
@@ -25,17 +23,19 @@ def _join(experiment: DataFrame, runs: DataFrame, suite: str | None) -> DataFram
     Spark broadcasts the experiments while their measured size allows it and otherwise sorts and
     merges, splitting an oversized experiment's runs (adaptive skew join).
     """
-    known = experiment if suite is None else experiment.filter(F.col("suite") == suite)
-    known = known.select("id", "suite", "name")
+    known = _named(experiment, suite)
     return runs.join(known, runs["experiment_id"] == known["id"]).drop("id")
 
 
-def _same_bin():
-    """Condition between the aliases ``v`` (values) and ``m`` (middle bins); NULL names match."""
-    same = F.col("v.bin") == F.col("m.bin")
-    for key in GROUP:
-        same = same & F.col(f"v.{key}").eqNullSafe(F.col(f"m.{key}"))
-    return same
+def _named(experiment: DataFrame, suite: str | None) -> DataFrame:
+    known = experiment if suite is None else experiment.filter(F.col("suite") == suite)
+    return known.select("id", *GROUP)
+
+
+def _same_group():
+    """Condition between the aliases ``e`` (experiments) and ``m`` (middle bins); NULL names match."""
+    suite, name = (F.col(f"e.{key}").eqNullSafe(F.col(f"m.{key}")) for key in GROUP)
+    return suite & name
 
 
 def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
@@ -43,23 +43,27 @@ def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
 
     The exact median takes two rounds of counting instead of a list of all values per group. The
     first counts by coarse bin (the time without its low 12 bits) and finds the bins of the middle
-    ranks; the second scans the runs again and counts single times, in those bins only. A group's
-    windows see at most 2^20 bins while its times span less than 2^32 (49 days in ms), and 2^13 times,
-    however many runs it has; a wider span only makes the first window longer, and that one spills.
+    ranks; the second scans the runs again and counts single times, of which only those bins are kept.
+    A group's windows see at most 2^20 bins while its times span less than 2^32 (49 days in ms), and 2^13
+    times, however many runs it has; a wider span only makes the first window longer, and that one spills.
 
-    The middle bins, at most two per group, are written out in between. Their size is then known
-    when the second scan is planned: Spark broadcasts them if small, else it merges.
+    Both rounds count by experiment before they join: a join sees at most 2^20 rows of an experiment in
+    the first round, and 2^12 of an experiment and bin in the second.
     """
-    joined = _join(experiment, run.select("experiment_id", "time"), suite)
-    bin_of = F.coalesce(F.shiftright(F.col("time").cast("bigint"), BIN_BITS), F.lit(NO_TIME_BIN))
-    timed = joined.select(*GROUP, F.col("time").cast("bigint").alias("time"), bin_of.alias("bin"))
-    bins = timed.groupBy(*GROUP, "bin").agg(
+    time = F.col("time").cast("bigint")
+    bin_of = F.coalesce(F.shiftright(time, BIN_BITS), F.lit(NO_TIME_BIN))
+    timed = run.select("experiment_id", time.alias("time"), bin_of.alias("bin"))
+    by_experiment = timed.groupBy("experiment_id", "bin").agg(
         F.min("time").alias("lo"),
         F.max("time").alias("hi"),
         F.sum("time").alias("total"),
         F.count("time").alias("timed"),
         F.count("*").alias("runs"),
     )
+    bins = _join(experiment, by_experiment, suite).groupBy(*GROUP, "bin").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        *[F.sum(c).alias(c) for c in ("total", "timed", "runs")],
+    )
     whole = Window.partitionBy(*GROUP)
     upto = F.sum("timed").over(whole.orderBy("bin"))
     ranked = bins.select(
@@ -80,11 +84,14 @@ def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
         return (F.col("before") <= rank) & (rank < F.col("upto"))
 
     wanted = holds(lower) | holds(upper) | (F.col("timed") == 0)
-    middle = write_and_read(ranked.filter(wanted).drop("upto"), "median-bins")
-    inside = timed.alias("v").join(middle.alias("m"), _same_bin(), "left_semi")
-    values = inside.groupBy(*GROUP, "bin", "time").agg(F.count("*").alias("c"))
-    placed = values.alias("v").join(middle.alias("m"), _same_bin()).select(
-        "v.*", *[f"m.{c}" for c in ("before", "lo", "hi", "total", "timed", "runs")]
+    known = ("before", "lo", "hi", "total", "timed", "runs")
+    middle = _named(experiment, suite).alias("e").join(ranked.filter(wanted).alias("m"), _same_group()).select(
+        F.col("e.id").alias("experiment_id"), *[f"e.{c}" for c in GROUP], *[f"m.{c}" for c in ("bin", *known)]
+    )
+    counted = timed.groupBy("experiment_id", "bin", "time").agg(F.count("*").alias("c"))
+    inside = counted.join(middle, ["experiment_id", "bin"])
+    placed = inside.groupBy(*GROUP, "bin", "time").agg(
+        F.sum("c").alias("c"), *[F.max(c).alias(c) for c in known]
     )
     # The middle bins of a group are neighbours, so one running count passes through both.
     reached = F.min("before").over(whole) + F.sum("c").over(whole.orderBy("bin", "time"))

@@ -7,11 +7,11 @@ hashes, random numbers and training are written out in SQL.
 from __future__ import annotations
 
 from millrace.functions import hashing, uniform
-from millrace.operators.sampling import poisson_steps
 from millrace.plans.table_queries import (
     BUCKETS,
     CLICKLOG_COLUMNS,
     DECLARED_ROWS,
+    FAR,
     FRACTION,
     K,
     MISSING_INT,
@@ -217,9 +217,14 @@ def _uniform(key: str, part: int) -> str:
     return f"(('0x' || substr({digest}, 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+_POISSON = f"""(SELECT list(p) FROM (
+  SELECT sum(exp(-{FRACTION}::DOUBLE) * pow({FRACTION}::DOUBLE, n) / factorial(CAST(n AS INTEGER)))
+         OVER (ORDER BY n) AS p FROM range(18) r(n)))"""
+
+
 def _copies(key: str) -> str:
-    steps = ", ".join(repr(s) + "::DOUBLE" for s in poisson_steps(FRACTION))
-    return f"len(list_filter([{steps}], lambda s: s <= {_uniform(key, 0)}))"
+    """How many cumulative Poisson probabilities the uniform reaches; the 18th is 1 but for 1e-13."""
+    return f"len(list_filter({_POISSON}, lambda s: s <= {_uniform(key, 0)}))"
 
 
 _WRAP = "18446744073709551616::HUGEINT"
@@ -318,13 +323,15 @@ ORACLES: dict[str, str] = {
 FROM (SELECT vec_id, unnest(a) AS v, unnest(b) AS w, generate_subscripts(a, 1) AS dim FROM pairs)""",
     "scan_dense_csv": f"""WITH {POINTS} SELECT CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS x
 FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM pts)""",
-    "dense_to_csv": f"""WITH {POINTS} SELECT vec_id, CAST(len(x) AS INTEGER) AS fields,
-  false AS trailing_comma, round(x[1], 6) AS first_value FROM pts""",
+    "dense_to_csv": f"""WITH {POINTS} SELECT vec_id, fields, false AS trailing_comma,
+  CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS x
+FROM (SELECT vec_id, CAST(len(x) AS INTEGER) AS fields, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM pts)""",
     "scan_indexed_centers": f"""WITH {POINTS}, {INIT}
 SELECT cid, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS x
 FROM (SELECT cid, unnest(c) AS v, generate_subscripts(c, 1) AS dim FROM c0)""",
     "indexed_centers_sink": f"""WITH {POINTS}, {INIT}
-SELECT cid, CAST(len(c) + 1 AS INTEGER) AS fields, true AS opened FROM c0""",
+SELECT cid, fields, true AS opened, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS x
+FROM (SELECT cid, CAST(len(c) + 1 AS INTEGER) AS fields, unnest(c) AS v, generate_subscripts(c, 1) AS dim FROM c0)""",
     "scan_clicklog_tsv": f"WITH {CLICKLOG} SELECT label, "
     + ", ".join(f"coalesce({c}, {MISSING_INT}) AS {c}" for c in INT_COLS)
     + ", "
@@ -346,7 +353,8 @@ SELECT cid, CAST(len(c) + 1 AS INTEGER) AS fields, true AS opened FROM c0""",
     "zscore": f"WITH {CLICKLOG}, {FILLED}, {STATS}, {ZSCORES} SELECT event_id, "
     + ", ".join(f"round(z{j}, 6) + 0.0 AS z{j}" for j in _INTS)
     + " FROM zscores",
-    "prepared_count": f"SELECT CAST(sum({_copies('event_id')}) AS BIGINT) AS n_rows FROM events",
+    "prepared_count": f"""SELECT CAST(sum({_copies('event_id')}) AS BIGINT) AS n_rows, true AS in_parts
+FROM events""",
     "signed_hash_murmur3": f"""WITH {CLICKLOG}, {TOKENS}, {HASHES}
 SELECT event_id, token, CAST(hash AS INTEGER) AS hash,
        CAST(abs(hash) % {WIDE_BUCKETS} AS INTEGER) AS idx,
@@ -396,5 +404,44 @@ FROM joined GROUP BY suite, name ORDER BY name, suite""",
     "pending_runs": f"WITH {_PENDING} SELECT experiment_id, run FROM pending",
     "pending_experiments": f"WITH {_PENDING} SELECT DISTINCT experiment_id FROM pending",
 }
+# Sparse points and centers, their first dimension moved far out.
+_FAR = f"""{POINTS}, {INIT}, a AS (
+  SELECT vec_id, arg_min(cid, (d, cid)) AS cid, min(d) AS d
+  FROM (SELECT vec_id, cid, {_distance('x', 'c')} AS d
+        FROM (SELECT vec_id, {_sparse(f'list_prepend(x[1] + {FAR}::DOUBLE, x[2:])')} AS x FROM pts),
+             (SELECT cid, list_prepend(c[1] + {FAR}::DOUBLE, c[2:]) AS c FROM c0))
+  GROUP BY vec_id)"""
+_NULL_KEYED = """keyed AS (
+  SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS key, o_totalprice FROM orders)"""
+_TEXT_KEY = "coalesce(CAST(key AS VARCHAR), chr(0) || 'null')"
+_GENERATED_POINTS = f"""{_GENERATED}, drawn AS (
+  SELECT o_orderkey AS vec_id, pairs.dim AS dim,
+    mc.u * {_M.center_range}::DOUBLE - {_M.center_range / 2}::DOUBLE + CASE WHEN is_noise
+      THEN u1 * {_M.sigma_limit}::DOUBLE
+      ELSE ms.u * {_M.sigma_limit}::DOUBLE * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) END AS v
+  FROM heads JOIN pairs USING (o_orderkey)
+  JOIN mc ON mc.cid = true_cid AND mc.dim = pairs.dim JOIN ms ON ms.cid = true_cid),
+pts AS MATERIALIZED (SELECT vec_id, list(v ORDER BY dim) AS x FROM drawn GROUP BY vec_id),
+{INIT}"""
+
+ORACLES |= {
+    "nearest_center_sparse": f"WITH {_FAR} SELECT vec_id, cid, round(d, 6) AS d FROM a",
+    "nearest_center_sparse_native": f"WITH {_FAR} SELECT vec_id, cid, round(d, 6) AS d FROM a",
+    "kmeans_cost_sparse": f"WITH {_FAR} SELECT round(sum(d), 6) AS cost FROM a",
+    "vector_sum_null_key": f"""WITH {POINTS}, parts AS (
+  SELECT CASE WHEN vec_id % 7 <> 0 THEN label END AS cid, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM pts)
+SELECT cid, CAST(dim AS INTEGER) AS dim, round(sum(v), 6) + 0.0 AS x, count(*) AS n FROM parts GROUP BY cid, dim""",
+    "sample_k_null_key": f"""WITH {_NULL_KEYED} SELECT key FROM keyed
+ORDER BY md5('{SEED}:' || {_TEXT_KEY}), key LIMIT {SAMPLE_SIZE}""",
+    "sample_poisson_null_key": f"""WITH {_NULL_KEYED} SELECT key, o_totalprice FROM (
+  SELECT key, o_totalprice, unnest(range({_copies(_TEXT_KEY)})) AS copy FROM keyed)""",
+    "sample_poisson_native": "SELECT true AS all_known, true AS size_as_expected",
+    "final_centers_sink": _TRAINED,
+    "gen_initial_centers": f"""WITH {_GENERATED_POINTS}
+SELECT cid, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS x
+FROM (SELECT cid, unnest(c) AS v, generate_subscripts(c, 1) AS dim FROM c0)""",
+    "train_generated": f"""WITH {_GENERATED_POINTS}, {_rounds(ROUNDS)}
+SELECT cid, CAST(dim AS INTEGER) AS dim, round(m, 6) + 0.0 AS x FROM l{ROUNDS}""",
+}
 ORACLES["nearest_center_native"] = ORACLES["nearest_center"]
 ORACLES["vector_mean_by_cluster_native"] = ORACLES["vector_mean_by_cluster"]

@@ -27,6 +27,7 @@ BUCKETS = 16
 WIDE_BUCKETS = 1 << 20
 SPARSE_THRESHOLD = 0.1
 FRACTION = 1.5
+FAR = 1e6
 DECLARED_ROWS = 12_000
 SAMPLE_SIZE = 20
 MIXTURE = datagen.Mixture(d=4, k=3, seed=SEED)
@@ -129,8 +130,8 @@ def dense_to_csv(spark, sf_dir):
         "vec_id",
         F.size(F.split("line", ",")).alias("fields"),
         F.endswith("line", F.lit(",")).alias("trailing_comma"),
-        F.round(F.split("line", ",").cast("array<double>")[0], 6).alias("first_value"),
-    )
+        F.posexplode(F.split("line", ",").cast("array<double>")).alias("dim", "x"),
+    ).withColumns({"dim": F.col("dim") + 1, "x": _rounded("x")})
 
 
 def scan_indexed_centers(spark, sf_dir):
@@ -144,11 +145,23 @@ def indexed_centers_sink(spark, sf_dir):
     path = scratch.new_path(spark, "init")
     dense.write_indexed_centers(_init(spark, sf_dir), path)
     lines = spark.read.text(path)
+    values = F.split(F.regexp_extract("value", r"^\((.*),\d+\)$", 1), ",").cast("array<double>")
     return lines.select(
         F.regexp_extract("value", r",(\d+)\)$", 1).cast("int").alias("cid"),
         F.size(F.split("value", ",")).alias("fields"),
         F.startswith("value", F.lit("(")).alias("opened"),
+        F.posexplode(values).alias("dim", "x"),
+    ).withColumns({"dim": F.col("dim") + 1, "x": _rounded("x")})
+
+
+def final_centers_sink(spark, sf_dir):
+    trained = kmeans.fit(
+        _points(spark, sf_dir), _init(spark, sf_dir), ROUNDS, method="lloyd", storage="DISK_ONLY"
     )
+    path = scratch.new_path(spark, "centers")
+    dense.write_centers(trained, path, text=True)
+    read = dense.parse_final_centers(spark.read.text(path))
+    return kmeans.long_form(read).select("cid", "dim", _rounded("x"))
 
 
 def scan_clicklog_tsv(spark, sf_dir):
@@ -314,6 +327,33 @@ def nearest_center_native(spark, sf_dir):
     return found.select("vec_id", "cid", F.round("sqdist", 6).alias("d"))
 
 
+def _moved(vector: str):
+    """Moves the first dimension far out, where |x|² - 2x·c + |c|² cancels."""
+    return F.transform(vector, lambda x, i: F.when(i == 0, x + F.lit(FAR)).otherwise(x))
+
+
+def _far(spark, sf_dir):
+    """Sparse points and dense centers far from the origin."""
+    points = _points(spark, sf_dir).select("vec_id", _moved("features").alias("features"))
+    centers = _init(spark, sf_dir).select("cid", _moved("center").alias("center"))
+    sparse = vectors.sparsify("features", SPARSE_THRESHOLD).alias("features")
+    return points.select("vec_id", sparse), centers
+
+
+def nearest_center_sparse(spark, sf_dir):
+    found = nearest.nearest_center(*_far(spark, sf_dir))
+    return found.select("vec_id", "cid", F.round("sqdist", 6).alias("d"))
+
+
+def nearest_center_sparse_native(spark, sf_dir):
+    found = nearest.nearest_center(*_far(spark, sf_dir), engine="native")
+    return found.select("vec_id", "cid", F.round("sqdist", 6).alias("d"))
+
+
+def kmeans_cost_sparse(spark, sf_dir):
+    return nearest.clustering_cost(*_far(spark, sf_dir)).select(F.round("cost", 6).alias("cost"))
+
+
 def _long_sums(sums):
     return sums.select("cid", (F.col("dim") + 1).alias("dim"), _rounded("x"), "n")
 
@@ -322,6 +362,11 @@ def vector_sum_by_cluster(spark, sf_dir):
     return _long_sums(nearest.vector_sums(_points(spark, sf_dir), "label"))
 
 
+def vector_sum_null_key(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 != 0, F.col("label"))
+    return _long_sums(nearest.vector_sums(_points(spark, sf_dir).withColumn("label", label), "label"))
+
+
 def vector_mean_by_cluster(spark, sf_dir):
     return _long_sums(nearest.vector_means(_points(spark, sf_dir), "label"))
 
@@ -379,7 +424,11 @@ def prepared_count(spark, sf_dir):
         seed=SEED,
         key="event_id",
     )
-    return features.prepared_size(lines).select("n_rows")
+    path = scratch.new_path(spark, "prepared")
+    libsvm.write_lines(lines, path)
+    return features.prepared_size(spark.read.text(path)).select(
+        "n_rows", (F.col("n_partitions") > 0).alias("in_parts")
+    )
 
 
 # --- sampling and generation ---------------------------------------------------------------------
@@ -397,7 +446,30 @@ def sample_poisson(spark, sf_dir):
 
 def sample_poisson_native(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return sampling.sample_with_replacement(orders, FRACTION, SEED)
+    sampled = sampling.sample_with_replacement(orders, FRACTION, SEED)
+    known = orders.select("*", F.lit(True).alias("known"))
+    counts = sampled.join(known, ["o_orderkey", "o_totalprice"], "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count("known").alias("n_known")
+    )
+    expected = orders.agg(F.count(F.lit(1)) * F.lit(FRACTION)).scalar()
+    return counts.withColumn("expected", expected).select(
+        (F.col("n") == F.col("n_known")).alias("all_known"),
+        (F.abs(F.col("n") - F.col("expected")) <= 6 * F.sqrt("expected")).alias("size_as_expected"),
+    )
+
+
+def _null_keyed(spark, sf_dir):
+    key = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey"))
+    return _table(spark, sf_dir, "orders").select(key.alias("key"), "o_totalprice")
+
+
+def sample_poisson_null_key(spark, sf_dir):
+    return sampling.sample_poisson(_null_keyed(spark, sf_dir), "key", FRACTION, SEED)
+
+
+def sample_k_null_key(spark, sf_dir):
+    # which of the rows with a null key are taken is open, so only the keys are compared
+    return sampling.sample_k(_null_keyed(spark, sf_dir), "key", SAMPLE_SIZE, SEED).select("key")
 
 
 def counter_uniform(spark, sf_dir):
@@ -444,6 +516,24 @@ def gen_points_count(spark, sf_dir):
     )
 
 
+def _generated_init(spark, sf_dir):
+    ids = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return datagen.mixture_init(ids, MIXTURE, K, key="o_orderkey")
+
+
+def gen_initial_centers(spark, sf_dir):
+    return kmeans.long_form(_generated_init(spark, sf_dir)).select("cid", "dim", _rounded("x"))
+
+
+def train_generated(spark, sf_dir):
+    paths = {label: scratch.new_path(spark, label) for label in ("points", "init")}
+    dense.write_points(_generated(spark, sf_dir), paths["points"])
+    dense.write_indexed_centers(_generated_init(spark, sf_dir), paths["init"])
+    points = dense.read_points(spark, paths["points"])
+    trained = kmeans.fit_lloyd(points, dense.read_indexed_centers(spark, paths["init"]), ROUNDS)
+    return kmeans.long_form(trained).select("cid", "dim", _rounded("x"))
+
+
 # --- run log -------------------------------------------------------------------------------------
 
 
@@ -529,5 +619,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         runtime_listing,
         pending_runs,
         pending_experiments,
+        nearest_center_sparse,
+        nearest_center_sparse_native,
+        kmeans_cost_sparse,
+        vector_sum_null_key,
+        sample_k_null_key,
+        sample_poisson_null_key,
+        final_centers_sink,
+        gen_initial_centers,
+        train_generated,
     )
 }

@@ -63,6 +63,14 @@ def final_line(cid: Column, center: Column) -> Column:
     return F.concat(F.lit("("), cid.cast("string"), F.lit(","), csv_line(center), F.lit(")"))
 
 
+def parse_final_centers(lines: DataFrame) -> DataFrame:
+    fields = F.split(F.regexp_replace("value", r"[()]", ""), ",")
+    return lines.select(fields.alias("f")).select(
+        F.element_at("f", 1).cast("int").alias("cid"),
+        F.slice("f", F.lit(2), F.size("f") - 1).cast("array<double>").alias("center"),
+    )
+
+
 def write_centers(
     centers: DataFrame, path: str, mode: str = "error", text: bool = False
 ) -> None:
