@@ -112,17 +112,13 @@ def decode(
         table = token_bytes(model.value)
         known = [table.get(i, b"") for i in range(max(table) + 1)]
         for batch in batches:
-            values, ends = batch.values.to_pylist(), batch.offsets.to_pylist()
-            out = []
+            values = batch.values.fill_null(-1).to_numpy()  # one text's ids at a time become objects
+            ends, out = batch.offsets.to_pylist(), []
             for valid, i, j in zip(batch.is_valid().to_pylist(), ends, ends[1:], strict=False):
-                ids = values[i:j]
-                try:
-                    parts = map(known.__getitem__, ids)
-                    data = b"".join(parts) if min(ids, default=0) >= 0 else None
-                except (IndexError, TypeError):
-                    data = None
-                if data is None:
-                    data = b"".join(table.get(k, b"") for k in ids)
+                part = values[i:j]
+                if j > i and (part.min() < 0 or part.max() >= len(known)):
+                    part = part[(part >= 0) & (part < len(known))]
+                data = b"".join(map(known.__getitem__, part.tolist()))
                 out.append(data.decode("utf-8", "replace") if valid else None)
             yield pa.array(out, pa.string())
 

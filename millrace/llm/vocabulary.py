@@ -13,6 +13,9 @@ from pyspark.sql import SparkSession
 
 from millrace.llm.memo import Memo
 
+#: Strings that one call of the library encodes; it holds some hundred bytes for every token of a call.
+JOINED = 4096
+
 
 def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
     with open(path, encoding="utf-8") as f:
@@ -55,7 +58,9 @@ class ChunkEncoder:
                 alone[i] = _packed(self.ids(s))
             else:
                 plain.append(s)
-        out = _split(self.ids(self.mark.join(plain)), self.mark_id) if plain else []
+        out = []
+        for at in range(0, len(plain), JOINED):
+            out += _split(self.ids(self.mark.join(plain[at : at + JOINED])), self.mark_id)
         for i, ids in alone.items():
             out.insert(i, ids)
         return out
