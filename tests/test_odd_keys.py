@@ -1,5 +1,6 @@
 """Null keys, mixed widths, cancelling distances and declared counts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,30 @@ def test_sparse_distances_do_not_cancel(spark):
     assert nearest.clustering_cost(points, centers).first()[0] == pytest.approx(exact, rel=1e-12)
 
 
+def test_sums_agree_on_both_sides_of_the_limit(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 3, (4000, 7))
+    model = nearest.Centers(np.arange(20), rng.normal(0, 3, (20, 7)))
+    found = []
+    for limit in (0, 256):
+        monkeypatch.setattr(nearest, "ONE_HOT_CENTERS", limit)
+        sums, counts = np.zeros((20, 7)), np.zeros(20, np.int64)
+        nearest.add_nearest(sums, counts, x, model)
+        found.append((sums.round(9), counts))
+    assert (found[0][1] == found[1][1]).all() and np.allclose(found[0][0], found[1][0], rtol=0, atol=2e-9)
+
+
+def test_sparse_ties_and_empty_rows(spark):
+    sparse = [([], []), ([0], [1.0]), ([2], [float("nan")]), ([0, 2], [2.0, 2.0])]
+    rows = [(i, (3, ix, v)) for i, (ix, v) in enumerate(sparse)]
+    points = spark.createDataFrame(rows, f"point_id long, features {SPARSE}").coalesce(1)
+    centers = [(4, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (7, [2.0, 0.0, 2.0])]
+    centers = spark.createDataFrame(centers, "cid int, center array<double>")
+    for engine in ("arrow", "native"):
+        got = nearest.nearest_center(points, centers, engine=engine).orderBy("point_id").collect()
+        assert [(r["cid"], r["sqdist"]) for r in got] == [(2, 1.0), (2, 0.0), (-1, None), (7, 0.0)]
+
+
 def test_large_ids_fail(spark, points):
     centers = spark.createDataFrame([(2**31 + 5, [0.0, 0.0, 0.0])], "cid long, center array<double>")
     with pytest.raises(Exception, match="INT"):

@@ -56,6 +56,17 @@ def test_summary_by_brute_force(tables):
     assert len(rows) == len(want)
 
 
+def test_profile_without_broadcast(spark, tables):
+    experiment, run, *_ = tables
+    want = sorted(map(str, runlog.profile(experiment, run).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, runlog.profile(experiment, run).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stats_by_brute_force(tables):
     experiment, run, experiments, runs = tables
     rows = {(r.suite, r["name"]): r for r in runlog.stats(experiment, run).collect()}
