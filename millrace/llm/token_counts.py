@@ -9,6 +9,7 @@ number of initial symbols less its merges.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -74,7 +75,8 @@ class WordCounter:
         self.vocabulary = described["model"]["vocab"]
         self.ending = described["model"].get("end_of_word_suffix") or ""
         special = [t["content"] for t in described["added_tokens"]]
-        self.special = sorted(special, key=len, reverse=True)
+        longest_first = sorted(special, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, longest_first))) if special else None
 
     def __call__(self, strings: list[str]) -> list[int]:
         return [self.count(s) for s in strings]
@@ -82,15 +84,12 @@ class WordCounter:
     def count(self, string: str) -> int:
         if string.isascii() and string.isalpha():
             return self._word(string.lower())
-        return self._outside(string, self.special)
+        return self._outside(string)
 
-    def _outside(self, string: str, special: list[str]) -> int:
+    def _outside(self, string: str) -> int:
         """Each special string counts as one token; what lies between is counted by itself."""
-        found = [(p, -len(t), t) for t in special if (p := string.find(t)) >= 0]
-        if found:
-            at, _, token = min(found)
-            return self._plain(string[:at]) + 1 + self._outside(string[at + len(token) :], special)
-        return self._plain(string)
+        between = self.special.split(string) if self.special else [string]
+        return len(between) - 1 + sum(map(self._plain, between))
 
     def _plain(self, string: str) -> int:
         if not string:
