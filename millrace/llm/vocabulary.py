@@ -72,7 +72,8 @@ class WordEncoder(ChunkEncoder):
     Many strings are a word and a full stop or comma, in some case. Of those whose letters are all
     Latin (below U+0180, where lower-casing is the same everywhere and normalising changes nothing),
     the word in lower case and the punctuation are remembered apart. Such a word is all that the
-    library's merging needs, so it is handed to that directly.
+    library's merging needs, so it is handed to that directly. A dotted capital I lower-cases to a
+    letter and a combining mark, which the library joins with what follows: it goes to the library.
     """
 
     def __init__(self, model: str, limit: int = 250_000):
@@ -84,8 +85,8 @@ class WordEncoder(ChunkEncoder):
         parts, ends = [], []
         for s in strings:
             word = s.rstrip(".,")
-            if word.isalpha() and max(word) < "\u0180":
-                parts += (word.lower(), s[len(word) :])
+            if _is_latin(word) and _is_latin(lower := word.lower()):
+                parts += (lower, s[len(word) :])
             else:
                 parts.append(s)
             ends.append(len(parts))
@@ -96,7 +97,7 @@ class WordEncoder(ChunkEncoder):
         return out
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
-        simple = [p.isalpha() and max(p) < "\u0180" for p in parts]
+        simple = [_is_latin(p) and p == p.lower() for p in parts]
         others = iter(super().__call__([p for p, s in zip(parts, simple, strict=True) if not s]))
         return [self._word(p) if s else next(others) for p, s in zip(parts, simple, strict=True)]
 
@@ -105,6 +106,10 @@ class WordEncoder(ChunkEncoder):
         return _packed([token.id for token in self.tokenizer.model.tokenize(letters)])
 
 
+def _is_latin(word: str) -> bool:
+    return word.isalpha() and max(word) < "\u0180"
+
+
 def _packed(ids: list[int]) -> bytes:
     return array.array("I", ids).tobytes()
 
