@@ -90,8 +90,8 @@ def format_conversations(
     loss_role: str = "assistant",
 ) -> DataFrame:
     """One row per conversation: its id, ``formatted``, ``turns`` as read back (role, text), ``loss_spans``
-    (start from 1 and length in code points of ``formatted``, escaped or not), ``escaped_turns``,
-    ``identical``.
+    (start from 1 and length in code points of ``formatted``, escaped or not), ``turn_spans`` (the same
+    by turn, null for turns without loss), ``escaped_turns``, ``identical``.
 
     Turns are put in order of turn, role and text; repeated rows are turns of their own. Null texts and
     roles count as empty, null turns come first, a null conversation id is an id. Other columns are
@@ -136,16 +136,21 @@ def format_conversations(
         "formatted",
         "turns",
         F.array_compact(F.transform("all", lambda t: t["span"])).cast(SPANS).alias("loss_spans"),
+        F.transform("all", lambda t: t["span"]).cast(SPANS).alias("turn_spans"),
         "escaped_turns",
         F.transform("all", lambda t: t["source"]).eqNullSafe(F.col("turns")).alias("identical"),
     )
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, read from the formatted string."""
+def loss_text(formatted: Column, turn_spans: Column) -> Column:
+    """All text under the loss mask, unescaped, read from the formatted string.
 
-    def part(span: Column) -> Column:
-        body = F.substr(formatted, span["start"], span["length"])
-        return F.when(span["escape"], unescaped(body)).otherwise(body)
+    The string is cut once at the ends of its turns, and a span is read from the end of its turn, so
+    the work grows with the string's length, not with turns times length.
+    """
+
+    def part(turn: Column, span: Column) -> Column:
+        body = F.substr(turn, (F.length(turn) - span["length"] + 1).cast("int"), span["length"].cast("int"))
+        return F.when(span["escape"], unescaped(body)).otherwise(F.when(span.isNotNull(), body))
 
-    return F.array_join(F.transform(spans, part), "")
+    return F.array_join(F.zip_with(F.split(formatted, CLOSE), turn_spans, part), "")

@@ -96,7 +96,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_conversations(rows.unionByName(control))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.col("loss")
-    return done.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).select(
+    return done.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turn_spans"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
