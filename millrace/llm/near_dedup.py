@@ -12,8 +12,9 @@ Two documents are linked if their sets of distinct five-word shingles have a sim
   similarity from above, exactly: sets that cannot reach the threshold with anything leave.
 * In each bucket the set with the smallest share of such shingles is the center; the others are
   verified against it, and links merge into components. Sets of buckets whose members still belong to
-  several components are searched by an exact prefix filter on their rarest shingles, and what that
-  finds across components is verified. No bucket is capped or skipped, nor are all its pairs formed.
+  several components are searched by an exact prefix filter on their rarest shingles, with the sizes
+  that the place of a shingle allows in the join key, and what that finds across components is
+  verified. No bucket is capped or skipped; pairs are formed only where that bound allows a link.
 
 Equal sets are one node from the start. Sets, links and components stay in distributed tables; each
 step that is used more than once is written to the shared folder.
@@ -33,6 +34,8 @@ WORDS, HALVES = 5, 16
 #: Similarity of a link as a fraction: 3/4.
 LEAST, OF = 3, 4
 MASK = (1 << 64) - 1
+#: Classes of set sizes: exact ones up to this number, then by steps of this part.
+SIZES = 64
 
 
 def _numbers(n: int, seed: int):
@@ -334,8 +337,11 @@ def _unresolved(table: DataFrame, centers: DataFrame, stars: DataFrame, sets: Da
     In each bucket, members that no other member's size lets reach the threshold leave; where the rest
     belongs to several components, its sets are searched by an exact prefix filter: with shingles in
     order of how many of these sets hold them, rarest first, two sets with o shingles in common share
-    one of their first n - o + 1. The first shingles of an edited copy are its edits, so even in a
-    large family of copies few sets share them.
+    one of their first n - o + 1. Where the first shingle they share stands bounds the partner's size,
+    so sets meet by shingle and classes of both sizes: a family that shares a template too small for a
+    link forms no pairs. Pairs are formed where this bound allows a link, or misses it by less than a
+    class; a large unlinked family whose members differ in random places at a similarity just below the
+    threshold is still compared pair by pair.
     """
     members = table.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = table.join(centers, "bucket", "left_semi").groupBy("bucket").agg(F.min("n").alias("least"))
@@ -368,14 +374,34 @@ def _unresolved(table: DataFrame, centers: DataFrame, stars: DataFrame, sets: Da
         .select("node", F.col("n"), (F.col("n") - F.col("at")).alias("left"), "component", "x.shingle")
     )
     first = run.keep(first, "first-shingles")
-    one = first.select(
+    # if it is the first they share, no more can be common than what either has from there on: that
+    # bounds the partner's size, and the bound goes into the key, by classes of size
+    largest = F.floor((OF + LEAST) * F.col("left") / LEAST) - F.col("n")
+    sized = first.withColumn("largest", largest).withColumn("class", size_class(F.col("n")))
+    up = F.least("largest", F.floor(F.col("n") * OF / LEAST))
+    small = sized.filter(F.col("n") <= F.col("largest")).select(
         "shingle", F.col("node").alias("a"), F.col("n").alias("m"), F.col("left").alias("most"),
-        F.col("component").alias("own"),
+        F.col("component").alias("own"), F.col("class").alias("low"),
+        F.explode(F.sequence("class", size_class(up))).alias("high"),
+    )
+    down = size_class(F.ceil(F.col("n") * LEAST / OF))
+    top = F.least("class", size_class("largest"))
+    large = sized.filter(down <= top).select(
+        "shingle", "node", "n", "left", "component", F.col("class").alias("high"),
+        F.explode(F.sequence(down, top)).alias("low"),
     )
-    # if it is the first they share, no more can be common than what either has from there on
     reach = _within_reach(F.col("n"), F.col("m"), F.least("left", "most"))
-    met = one.join(first, "shingle").filter((F.col("own") < F.col("component")) & reach)
-    return met.select("a", F.col("node").alias("b")).distinct()
+    met = small.join(large, ["shingle", "low", "high"]).filter(
+        (F.col("m") <= F.col("n")) & (F.col("own") != F.col("component")) & reach
+    )
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def size_class(n: Column | str) -> Column:
+    """Sizes by their exact number up to SIZES, and by steps of a SIZES-th beyond; never falls as n grows."""
+    n = F.col(n) if isinstance(n, str) else n
+    beyond = SIZES + F.floor(SIZES * F.log(F.greatest(n, F.lit(SIZES)) / SIZES))
+    return F.when(n <= SIZES, n).otherwise(beyond).cast("long")
 
 
 def connected(links: DataFrame, run: _Run) -> DataFrame:
