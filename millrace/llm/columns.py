@@ -23,3 +23,13 @@ def ascii_lower(text: Column) -> Column:
 def computed_once(value: Column) -> Column:
     """``value`` behind a generator of one row, so that no filter on it is pushed below and computes it anew."""
     return F.explode(F.array(value))
+
+
+def as_row(names: list[str]) -> Column:
+    """The user's columns as one struct ``row``, so that none can clash with a working column."""
+    fields = [F.col(f"`{c}`") for c in names]
+    return (F.struct(*fields) if fields else F.lit(None)).alias("row")
+
+
+def of_row(names: list[str]) -> list[Column]:
+    return [F.col(f"row.`{c}`").alias(c) for c in names]

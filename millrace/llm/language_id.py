@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.columns import computed_once
+from millrace.llm.columns import as_row, computed_once, of_row
 
 UNKNOWN = "und"
 #: N-grams in a profile, and documents per language, on average, from which one is learned.
@@ -185,6 +185,6 @@ def predict(
 
     judged = F.arrow_udf(judge, "struct<lang:string,score:double>")(F.col(text_col))
     others = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*others, computed_once(judged).alias("_judged")).select(
-        *others, F.col("_judged.lang").alias("lang_pred"), F.col("_judged.score").alias("score")
+    return docs.select(as_row(others), computed_once(judged).alias("judged")).select(
+        *of_row(others), F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score")
     )

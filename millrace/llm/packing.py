@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.columns import as_row, of_row
 from millrace.llm.memo import Memo
 from millrace.llm.vocabulary import WordEncoder, broadcast_file
 from millrace.plans.scratch import write_and_read
 
 CAPACITY = 2048
-#: Rows that one window over pieces of a length sorts, on average.
-BLOCK_ROWS = 50_000
+#: Rows that one window over pieces of a length sorts at most, on average: a block's pieces of one length.
+BLOCK_ROWS = 10_000
 
 PIECES = T.ArrayType(
     T.StructType(
@@ -88,9 +89,11 @@ def token_pieces(
     taken = {text_col.lower(), *names}
     others = [c for c in docs.columns if c.lower() not in taken]
     pieces = F.arrow_udf(encode, PIECES)(F.col(text_col))
-    rows = docs.select(*others, F.posexplode(pieces).alias("piece", "_p"))
+    rows = docs.select(as_row(others), F.posexplode(pieces).alias("number", "made"))
     wanted = names[1:] if keep_ids else names[1:-1]
-    return rows.select(*others, "piece", *(F.col(f"_p.{n}").alias(n) for n in wanted))
+    return rows.select(
+        *of_row(others), F.col("number").alias("piece"), *(F.col(f"made.{n}").alias(n) for n in wanted)
+    )
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, ...]]:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.columns import WORD_GAP, computed_once, text_or_empty
+from millrace.llm.columns import WORD_GAP, as_row, computed_once, of_row, text_or_empty
 
 SYMBOLS, PUNCTUATION, GAPS = "#*$%&|<>", ".,;:!?", " \t\n\x0b\x0c\r"
 
@@ -59,10 +59,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Words are separated by ASCII white space, lines by line feeds; a line counts if it holds a word.
     ``n_repeat_words`` counts the words within 3-word windows that occur twice or more. The arrays
     live within the row: a projection each, since Spark keeps apart what is used more than once. An
-    existing column ``measured`` is replaced; columns beginning with ``_q_`` are the only ones barred.
+    existing column ``measured`` is replaced; all others may have any name.
     """
-    text = text_or_empty(F.col(text_col))
-    w, line = F.col("_q_words"), F.col("_q_lines")
+    text, w, line = F.col("text"), F.col("words"), F.col("lines")
     windows = F.when(
         F.size(w) >= 3,
         F.transform(
@@ -78,18 +77,20 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def lines_that(pattern: str) -> Column:
         return _count(F.filter(line, lambda x: x.rlike(pattern)))
 
+    others = [c for c in docs.columns if c.lower() != "measured"]
     arrays = (
-        docs.withColumn("_q_words", F.filter(F.split(text, WORD_GAP), lambda x: x != ""))
-        .withColumn("_q_lines", F.filter(F.split(text, "\n"), _has_word))
-        .withColumn("_q_windows", windows)
-        .withColumn("_q_starts", _repeated_starts(F.col("_q_windows")))
+        docs.select(as_row(others), text_or_empty(F.col(text_col)).alias("text"))
+        .withColumn("words", F.filter(F.split(text, WORD_GAP), lambda x: x != ""))
+        .withColumn("lines", F.filter(F.split(text, "\n"), _has_word))
+        .withColumn("windows", windows)
+        .withColumn("starts", _repeated_starts(F.col("windows")))
     )
     counts = F.struct(
         _count(w).alias("n_words"),
         _without(text, GAPS).alias("word_chars"),
         (F.length(text) - _without(text, SYMBOLS)).alias("n_symbols"),
         (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("_q_starts")).alias("n_repeat_words"),
+        _covered(F.col("starts")).alias("n_repeat_words"),
         _count(line).alias("n_lines"),
         words_that(lambda x: x.endswith("!")).alias("n_exclaimed"),
         words_that(lambda x: F.rtrim(F.lower(x), F.lit(PUNCTUATION)).isin(stop)).alias("n_stop_words"),
@@ -97,8 +98,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lines_that(r"^\s*[-*•]").alias("n_bullets"),
         lines_that(r"(\.\.\.|…)\s*$").alias("n_ellipses"),
     )
-    others = [c for c in docs.columns if c.lower() != "measured"]
-    return arrays.select(*others, computed_once(counts).alias("measured"))
+    return arrays.select("row", computed_once(counts).alias("measured")).select(*of_row(others), "measured")
 
 
 def _repeated_starts(windows: Column) -> Column:
@@ -144,7 +144,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: dict = RULES) ->
     (too few words or too many repeated ones) and ``kept`` (neither).
 
     Every row is judged by itself, so repeated rows get equal verdicts; empty and null texts fail the
-    base. Columns named like the results are replaced.
+    base. Columns named like the results are replaced; all others may have any name.
     """
     m = measures(docs, text_col)
     words, repeated = F.col("measured.n_words"), F.col("measured.n_repeat_words")
