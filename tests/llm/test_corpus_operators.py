@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +19,7 @@ ODD = [
     "\x01's \x7f's \x00a", "日本語 テキスト 🎉🎉 \U000f0000 x", "a" * 5000, "é́ ñ İ ΣΣ 　x y",
     "the cat\nthe cat\nthe dog", "one two three one two three one", "a a a a a a", "[#*$%&|<>] word!",
     "x\r\ny\x0bz\x0c", "word, word. Word", "12.5 3.a's", "\U000c0000x  \U000c0000", "the quick brown fox " * 3000,
+    "PEKİ. İ, İ PEKİ peki.", "<|endoftext|>" * 3000, "a<|endoftext|>" * 50 + "b",
 ]
 
 
@@ -278,7 +280,7 @@ def test_chat_round_trip(spark):
             (None, 3, "assistant", "é🎉</turn>x"), (None, 2, "assistant", "y</tur"), (None, 2, "assistant", "y</tur"),
             (2, None, "assistant", ""), (-7, 0, "user", queries.CONTROL_TEXT), (-7, 1, "assistant", queries.CONTROL_TEXT)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0))
-    done = chat.format_conversations(df).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    done = chat.format_conversations(df).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turn_spans")))
     got = {r.conv_id: r for r in done.collect()}
     by_conv = defaultdict(list)
     for row in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
@@ -289,3 +291,68 @@ def test_chat_round_trip(spark):
         assert r.loss == "".join(text for role, text in turns if role == "assistant")
     assert got[-7].escaped_turns == 2 and got[2].escaped_turns == 0
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+CLASHING = ["_id", "_hits", "_judged", "_p", "_q_words", "row", "id", "places", "words", "Text2"]
+
+
+def test_columns_named_like_working_ones(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source").withColumns({c: F.lit(c) for c in CLASHING})
+    results = [
+        line_dedup.remove_spread_lines(docs, min_sites=3),
+        language_id.predict(docs, language_id.learn(docs)),
+        packing.token_pieces(docs, queries.WORD_BPE),
+        quality.apply_rules(docs),
+        near_dedup.near_groups(docs),
+        exact_dedup.exact_groups(docs),
+        token_counts.count_tokens(docs, queries.WORD_BPE),
+    ]
+    for result in results:
+        assert result.select(*CLASHING).distinct().collect() == [tuple(CLASHING)]
+
+
+def seconds(action) -> float:
+    start = time.perf_counter()
+    action()
+    return time.perf_counter() - start
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def lines(n):
+        text = "\n".join(f"l{i}" for i in range(n))
+        rows = [(i, text, f"s{i}") for i in range(12)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = line_dedup.remove_spread_lines(docs).agg(F.max(F.length("text")), F.min("n_removed")).first()
+        assert tuple(out) == (0, n)
+
+    def turns(n):
+        rows = [(1, i, "assistant" if i % 2 else "user", f"</turn>{i}") for i in range(n)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        done = chat.format_conversations(df)
+        loss = done.select(chat.loss_text(F.col("formatted"), F.col("turn_spans"))).first()[0]
+        assert loss == "".join(f"</turn>{i}" for i in range(1, n, 2))
+
+    for work, n in ((lines, 40_000), (turns, 10_000)):
+        work(n // 4)
+        assert seconds(lambda: work(n)) < 12 * max(1.0, seconds(lambda: work(n // 4)))
+
+
+def test_a_template_too_small_for_links_forms_no_pairs(spark, monkeypatch):
+    """300 texts share 160 of 200 shingles (0.67, no links); two shorter ones are linked."""
+    template = [f"t{i}" for i in range(164)]
+    rows = [(i, " ".join([*template, *(f"o{i}x{k}" for k in range(40))])) for i in range(300)]
+    rows += [(1000, " ".join(template[:160])), (1001, " ".join(template[:164]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = {}
+    keep = near_dedup._verified
+
+    def counted(pairs, sets):
+        sizes[len(sizes)] = pairs.count()
+        return keep(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    least, _, n = components(docs.collect())
+    got = near_dedup.near_groups(docs).collect()
+    assert sum(r.kept for r in got) == n
+    assert {r.doc_id: r.component_id for r in got} == {r.doc_id: least[i] for i, r in enumerate(docs.collect())}
+    assert max(sizes.values()) < 2000
