@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
@@ -14,11 +14,13 @@ from millrace.llm import (
     line_dedup,
     near_dedup,
     packing,
+    prefix_trie,
     quality,
+    structure_repair,
     token_counts,
     warc,
 )
-from millrace.plans.scratch import new_path
+from millrace.plans.scratch import new_path, remove, write_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -121,6 +123,51 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(value: Column) -> Column:
+    return F.crc32(value.cast("string"))
+
+
+#: Conversations start with up to this many turns (less one) of the first of their five.
+SHARED_TURNS = 9
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    convs, path = write_table(prefix_trie.sequences(rows), "sequences")
+    heads = convs.filter(F.col("conv_id") % 5 == 0).select(
+        F.col("conv_id").alias("base"), F.slice("turns", 1, SHARED_TURNS - 1).alias("head")
+    )
+    h = (_crc(F.col("conv_id")) % SHARED_TURNS).cast("int")
+    joined = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(heads.hint("merge"), "base", "left")
+    start = F.slice(F.coalesce("head", F.array().cast(joined.schema["turns"].dataType)), F.lit(1), h)
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))
+    nodes = prefix_trie.prefix_nodes(joined.select("conv_id", F.concat(start, own).alias("turns")))
+    remove(spark, path)
+    return nodes
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows (nulls: one space) with faults by a hash of their place; ``present`` is false for dropped ones."""
+    blank = F.lit(" ")
+    place = F.concat_ws(":", F.col("conv_id").cast("string"), F.coalesce(F.col("turn").cast("string"), blank))
+    role, text, fault = F.coalesce("role", blank), F.coalesce("text", blank), F.col("fault")
+    faulty = F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text)
+    copies = F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.withColumn("fault", F.crc32(place) % 20).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        faulty.alias("text"),
+        (fault != 0).alias("present"),
+        F.explode(copies).alias("copy"),
+    )
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure_repair.repair_reports(damaged(rows), present=F.col("present"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -132,6 +179,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
 }
 
 ORACLES: dict[str, str] = {}
