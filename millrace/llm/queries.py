@@ -16,6 +16,7 @@ from millrace.llm import (
     packing,
     prefix_trie,
     quality,
+    repeated_text,
     structure_repair,
     token_counts,
     warc,
@@ -168,6 +169,12 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repair_reports(damaged(rows), present=F.col("present"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = repeated_text.remove_repeats(docs)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -181,6 +188,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_structure_repair": op12_structure_repair,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
