@@ -7,6 +7,8 @@ Everything here is row-local: no function shuffles, and all work on streaming fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,15 +93,20 @@ def vector_kind(df: DataFrame, name: str) -> str:
     raise TypeError(f"column {name} is no vector: {kind.simpleString()}")
 
 
-def squared_distance(df: DataFrame, a: str, b: str) -> Column:
-    """Squared distance of two vector columns of ``df``, each dense or sparse."""
+def distance_of(a: str, b: str) -> Callable[[ColumnLike, ColumnLike], Column]:
+    """The squared distance of vectors of these kinds."""
     distances = {
         ("dense", "dense"): sqdist,
         ("sparse", "sparse"): sqdist_sparse,
         ("sparse", "dense"): sqdist_sparse_dense,
         ("dense", "sparse"): sqdist_dense_sparse,
     }
-    return distances[vector_kind(df, a), vector_kind(df, b)](a, b)
+    return distances[a, b]
+
+
+def squared_distance(df: DataFrame, a: str, b: str) -> Column:
+    """Squared distance of two vector columns of ``df``, each dense or sparse."""
+    return distance_of(vector_kind(df, a), vector_kind(df, b))(a, b)
 
 
 def vec_add(a: ColumnLike, b: ColumnLike) -> Column:

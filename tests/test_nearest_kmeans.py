@@ -109,8 +109,9 @@ def test_dimension_mismatch(spark):
         with pytest.raises(Exception, match="3 and 4"):
             nearest.nearest_center(pts, centers, engine=engine).collect()
     uneven = spark.createDataFrame([(0, [0.0]), (1, [0.0, 1.0])], CENTER)
-    with pytest.raises(ValueError, match="differ in dimension"):
-        nearest.collect_centers(uneven)
+    for budget in (None, 1):
+        with pytest.raises(ValueError, match="differ in dimension"):
+            nearest.collect_centers(uneven, budget)
     with pytest.raises(ValueError, match="unknown engine"):
         nearest.nearest_center(pts, centers, engine="other")
 
@@ -154,6 +155,79 @@ def test_intermediate_tables_are_removed(spark, points, init):
     assert len(left) == 1 and left.pop().startswith("round-")
 
 
+def _sparse_case(spark, width, n=90, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        nnz = int(rng.integers(0, min(6, width)))
+        idx = sorted(rng.choice(width, nnz, replace=False).tolist())
+        rows.append((i, (width, idx, [float(v) for v in rng.normal(0, 3, nnz)])))
+    dense = [[dict(zip(v[1], v[2])).get(j, 0.0) for j in range(width)] for _, v in rows]
+    return spark.createDataFrame(rows, SPARSE).repartition(4), rows, dense
+
+
+SPARSE_CENTER = "cid int, center struct<size:int,indices:array<int>,values:array<double>>"
+
+
+@pytest.mark.parametrize("budget", [None, 400])
+@pytest.mark.parametrize("form", ["dense", "sparse"])
+@pytest.mark.parametrize("block", [4, 512])
+def test_sparse_lloyd_by_brute_force(spark, monkeypatch, budget, form, block):
+    monkeypatch.setattr(nearest, "BLOCK", block)
+    monkeypatch.setattr(kmeans, "BLOCK", block)
+    pts, rows, dense = _sparse_case(spark, 15)
+    picked = [7, 20, 33, 51]
+    if form == "dense":
+        init = spark.createDataFrame([(c, dense[i]) for c, i in enumerate(picked)], CENTER)
+    else:
+        init = spark.createDataFrame([(c, rows[i][1]) for c, i in enumerate(picked)], SPARSE_CENTER)
+    want = _lloyd(dense, [(c, dense[i]) for c, i in enumerate(picked)], 3)
+    got = kmeans.fit_lloyd(pts, init, 3, budget=budget)
+    assert got.schema["center"].dataType == init.schema["center"].dataType
+    found = {}
+    for r in got.collect():
+        center = r.center
+        if form == "sparse":
+            center = [dict(zip(center.indices, center["values"])).get(j, 0.0) for j in range(center.size)]
+        found[r.cid] = center
+    assert found.keys() == want.keys() and sum(r.n for r in got.collect()) == 90
+    for cid in want:
+        assert found[cid] == pytest.approx(want[cid])
+    assert kmeans.fit_lloyd(pts, init, 0, budget=budget).count() == 4
+
+
+def test_sparse_sums_send_only_blocks_with_values(spark):
+    wide = 1 << 20
+    rows = [(i, (wide, [i % 7, 1000 * (i % 3) + 5], [1.0, 2.0])) for i in range(60)]
+    pts = spark.createDataFrame(rows, SPARSE).repartition(3)
+    init = spark.createDataFrame([(0, rows[0][1]), (1, rows[1][1])], SPARSE_CENTER)
+    model = nearest.collect_centers(init)
+    sent = nearest.assigned_sums(pts, model, "features").collect()
+    assert len(sent) <= 2 * (4 + 1) and sum(r.n for r in sent) == 60
+    trained = kmeans.fit_lloyd(pts, init, 2).collect()
+    assert sum(r.n for r in trained) == 60 and all(len(r.center.indices) < 12 for r in trained)
+
+
+def test_sparse_points_of_other_width_are_an_error(spark):
+    pts = spark.createDataFrame([(0, (5, [1], [2.0])), (1, (6, [1], [2.0]))], SPARSE)
+    init = spark.createDataFrame([(0, (5, [1], [2.0]))], SPARSE_CENTER)
+    for budget in (None, 10):
+        with pytest.raises(Exception, match="6 and 5"):
+            kmeans.fit_lloyd(pts, init, 1, budget=budget).collect()
+    with pytest.raises(TypeError, match="dense points only"):
+        kmeans.fit_library(pts, init, 1, 1)
+
+
+def test_streamed_centers_keep_the_smallest_id(spark):
+    """Equal centers in different blocks of a streamed table."""
+    centers = spark.createDataFrame([(i, [float(i // 30), 1.0]) for i in range(90, 0, -1)], CENTER).repartition(3)
+    pts = spark.createDataFrame([(i, [i / 10, 1.0]) for i in range(31)], POINT)
+    for engine in ("arrow", "native"):
+        whole = nearest.nearest_center(pts, centers, engine=engine).collect()
+        parts = nearest.nearest_center(pts, centers, engine=engine, budget=200).collect()
+        assert sorted(whole) == sorted(parts) and {r.cid for r in parts} == {1, 30, 60, 90}
+
+
 def test_no_centers(spark, points):
     empty = spark.createDataFrame([], CENTER)
     assert {r.cid for r in nearest.nearest_center(points, empty).collect()} == {-1}

@@ -1,10 +1,13 @@
 """Shapes of the physical plans that must hold at any size."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from millrace.operators import nearest, runlog, sampling
+from millrace.operators import kmeans, nearest, runlog, sampling
 from millrace.plans import table_queries as tq
 
 
@@ -36,8 +39,8 @@ def test_training_round_shuffles_partial_sums_only(spark, stored, init):
     model = nearest.collect_centers(init)
     plan = _plan(nearest.assigned_sums(stored, model, "features"))
     assert plan.count("Exchange") == 1
-    assert plan.index("partial_sum") > plan.index("Exchange hashpartitioning(cid")
-    assert plan.index("MapInArrow") > plan.index("partial_sum")
+    # the tasks' rows of arrays are opened behind the exchange
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(cid") < plan.index("MapInArrow")
     assert "ReadSchema: struct<features:array<double>>" in plan
 
 
@@ -48,6 +51,27 @@ def test_vector_sums_combine_before_the_shuffle(stored):
         assert plan.count("Exchange") == 1 and "partial_sum" in plan
 
 
+@pytest.mark.parametrize("engine", ["arrow", "native"])
+def test_large_center_tables_take_one_scan_of_the_points(spark, stored, init, engine):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    found = nearest.nearest_center(stored, init, engine=engine, budget=60)
+    plan = _plan(found)
+    assert len(re.findall(r"Scan parquet.*point_id", plan)) == 1
+    assert found.count() == 120
+    copies = [name for name in set(os.listdir(folder)) - before if not name.startswith("centers-")]
+    assert copies == []
+    assert "EvalPython" not in plan if engine == "native" else "Exchange" not in plan and "Join" not in plan
+
+
+def test_library_training_has_no_python_stage(points, init, monkeypatch):
+    seen = []
+    original = kmeans._vector_rdd
+    monkeypatch.setattr(kmeans, "_vector_rdd", lambda df: seen.append(_plan(df)) or original(df))
+    assert kmeans.fit_library(points, init, 4, 2).count() == 4
+    assert "Python" not in seen[0] and "MapInArrow" not in seen[0]
+
+
 def test_sample_is_a_top_k(stored):
     plan = _plan(sampling.sample_k(stored.select("point_id"), "point_id", 5))
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
