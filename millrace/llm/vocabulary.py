@@ -85,8 +85,8 @@ class WordEncoder(ChunkEncoder):
         parts, ends = [], []
         for s in strings:
             word = s.rstrip(".,")
-            if _is_latin(word) and _is_latin(lower := word.lower()):
-                parts += (lower, s[len(word) :])
+            if _is_latin(word):
+                parts += (word.lower(), s[len(word) :])
             else:
                 parts.append(s)
             ends.append(len(parts))
@@ -107,7 +107,8 @@ class WordEncoder(ChunkEncoder):
 
 
 def _is_latin(word: str) -> bool:
-    return word.isalpha() and max(word) < "\u0180"
+    """Letters below U+0180 only, and not the dotted capital I."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word))
 
 
 def _packed(ids: list[int]) -> bytes:
