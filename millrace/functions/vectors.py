@@ -93,6 +93,13 @@ def vector_kind(df: DataFrame, name: str) -> str:
     raise TypeError(f"column {name} is no vector: {kind.simpleString()}")
 
 
+def same_dimension(df: DataFrame, a: str, b: str) -> Column:
+    """Whether two vector columns, each dense or sparse, agree in dimension in a row; null where one is null."""
+    sizes = [F.col(c)["size"] if vector_kind(df, c) == "sparse" else F.size(c) for c in (a, b)]
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return F.when(known, sizes[0] == sizes[1])
+
+
 def distance_of(a: str, b: str) -> Callable[[ColumnLike, ColumnLike], Column]:
     """The squared distance of vectors of these kinds."""
     distances = {

@@ -1,19 +1,25 @@
 """Run-time summaries over ``experiment(id, suite, name)`` and
 ``experiment_run(experiment_id, run, time)``, times in milliseconds.
 
-A profile never shuffles the runs as such: tasks reduce them to counts by experiment and bin, or by
-experiment and time, before any join, so one that holds a third of all runs is no hot key.
+A profile never shuffles the runs as such: tasks reduce them to counts by experiment and digit before
+any join, so one that holds a third of all runs is no hot key. Pending runs are found on words of
+64 runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN_BITS = 12
-# Bin of runs without a time: below every bin of a real one.
-NO_TIME_BIN = -(1 << 63)
-RUN_BLOCK = 4096
+from millrace.plans.scratch import remove, write_table
+
+#: Bits of a time that one round of counting decides; a group's counts are one array of at most 2^DIGIT
+#: entries, or two.
+DIGIT = 12
+WORD = 64
+#: Words of one array while expected runs are written out.
+CHUNK_WORDS = 4096
+LOWEST = -(1 << 63)
 GROUP = ["suite", "name"]
 
 
@@ -32,74 +38,118 @@ def _named(experiment: DataFrame, suite: str | None) -> DataFrame:
     return known.select("id", *GROUP)
 
 
-def _same_group():
-    """Condition between the aliases ``e`` (experiments) and ``m`` (middle bins); NULL names match."""
-    suite, name = (F.col(f"e.{key}").eqNullSafe(F.col(f"m.{key}")) for key in GROUP)
+def _same_group(left: str, right: str) -> Column:
+    """Condition between two aliases; NULL names match."""
+    suite, name = (F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in GROUP)
     return suite & name
 
 
+def _prefix(shift: int) -> Column:
+    """The time without its low ``shift`` bits; in this form all times order as unsigned numbers."""
+    return F.shiftrightunsigned(F.col("time").bitwiseXOR(F.lit(LOWEST)), shift)
+
+
+def _shifts(run: DataFrame) -> list[int]:
+    """Low bits that are still open after each round: the bits in which the times differ, DIGIT at a time."""
+    least, most = run.agg(F.min("time"), F.max("time")).first()
+    width = 0 if least is None else ((least - LOWEST) ^ (most - LOWEST)).bit_length()
+    return [max(0, width - DIGIT * (i + 1)) for i in range(max(1, -(-width // DIGIT)))]
+
+
+def _select(counts: str, rank: Column, prefix: Column | None = None) -> Column:
+    """``STRUCT<prefix, rank>``: of sorted ``(…, bin, c)`` the bin that holds the 0-based rank, and the rank in it."""
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("before"),
+        F.lit(None).cast("bigint").alias("found"),
+        F.lit(None).cast("bigint").alias("rank"),
+    )
+
+    def step(acc: Column, e: Column) -> Column:
+        upto = acc["before"] + e["c"]
+        here = acc["found"].isNull() & (rank < upto)
+        if prefix is not None:
+            here = here & (e["prefix"] == prefix)
+            upto = F.when(e["prefix"] == prefix, upto).otherwise(acc["before"])
+        return F.struct(
+            upto.alias("before"),
+            F.when(here, e["bin"]).otherwise(acc["found"]).alias("found"),
+            F.when(here, rank - acc["before"]).otherwise(acc["rank"]).alias("rank"),
+        )
+
+    def ended(acc: Column) -> Column:
+        return F.struct(acc["found"].alias("prefix"), acc["rank"].alias("rank"))
+
+    return F.aggregate(counts, start, step, ended)
+
+
+TOTALS = ["lo", "hi", "total", "timed", "runs"]
+
+
 def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
     """By (suite, name): ``lo, hi, total, median`` of the times, ``timed`` and ``runs`` counts.
 
-    The exact median takes two rounds of counting instead of a list of all values per group. The
-    first counts by coarse bin (the time without its low 12 bits) and finds the bins of the middle
-    ranks; the second scans the runs again and counts single times, of which only those bins are kept.
-    A group's windows see at most 2^20 bins while its times span less than 2^32 (49 days in ms), and 2^13
-    times, however many runs it has; a wider span only makes the first window longer, and that one spills.
-
-    Both rounds count by experiment before they join: a join sees at most 2^20 rows of an experiment in
-    the first round, and 2^12 of an experiment and bin in the second.
+    The exact median is found by radix selection. A first look at the least and the greatest time tells
+    in which bits times differ at all. The first round counts by the upper DIGIT of them and gives the
+    totals as well; in each group the digits of the two middle ranks are picked from the counts, an array.
+    Every further round reads the runs again, keeps those that begin like a middle rank of their group, and
+    counts them by the next digit. No window runs, and nothing that a group holds is larger than two
+    arrays of counts, whatever its number of runs and the width of their times; times that differ in 24
+    bits take two rounds, 64 bits six. From the third round on the groups are written in between, one
+    row each, so that plans do not grow; the last of these tables stays in the shared folder.
     """
-    time = F.col("time").cast("bigint")
-    bin_of = F.coalesce(F.shiftright(time, BIN_BITS), F.lit(NO_TIME_BIN))
-    timed = run.select("experiment_id", time.alias("time"), bin_of.alias("bin"))
-    by_experiment = timed.groupBy("experiment_id", "bin").agg(
+    timed = run.select("experiment_id", F.col("time").cast("bigint").alias("time"))
+    first, *later = _shifts(timed)
+    by_experiment = timed.groupBy("experiment_id", _prefix(first).alias("bin")).agg(
         F.min("time").alias("lo"),
         F.max("time").alias("hi"),
         F.sum("time").alias("total"),
         F.count("time").alias("timed"),
-        F.count("*").alias("runs"),
+        F.count(F.lit(1)).alias("runs"),
     )
     bins = _join(experiment, by_experiment, suite).groupBy(*GROUP, "bin").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        *[F.sum(c).alias(c) for c in ("total", "timed", "runs")],
-    )
-    whole = Window.partitionBy(*GROUP)
-    upto = F.sum("timed").over(whole.orderBy("bin"))
-    ranked = bins.select(
-        *GROUP,
-        "bin",
-        (upto - F.col("timed")).alias("before"),
-        upto.alias("upto"),
-        F.min("lo").over(whole).alias("lo"),
-        F.max("hi").over(whole).alias("hi"),
-        F.sum("total").over(whole).alias("total"),
-        F.sum("timed").over(whole).alias("timed"),
-        F.sum("runs").over(whole).alias("runs"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in TOTALS[2:]]
     )
+    known = F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("timed").alias("c")))
+    groups = bins.groupBy(*GROUP).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in TOTALS[2:]],
+        F.array_sort(F.collect_list(known)).alias("counts"),
+    )
     # 0-based ranks of the two middle elements; equal for an odd count
     lower, upper = F.shiftright(F.col("timed") - 1, 1), F.shiftright("timed", 1)
-
-    def holds(rank):
-        return (F.col("before") <= rank) & (rank < F.col("upto"))
-
-    wanted = holds(lower) | holds(upper) | (F.col("timed") == 0)
-    known = ("before", "lo", "hi", "total", "timed", "runs")
-    middle = _named(experiment, suite).alias("e").join(ranked.filter(wanted).alias("m"), _same_group()).select(
-        F.col("e.id").alias("experiment_id"), *[f"e.{c}" for c in GROUP], *[f"m.{c}" for c in ("bin", *known)]
+    groups = groups.select(
+        *GROUP, *TOTALS, _select("counts", lower).alias("lower"), _select("counts", upper).alias("upper")
     )
-    counted = timed.groupBy("experiment_id", "bin", "time").agg(F.count("*").alias("c"))
-    inside = counted.join(middle, ["experiment_id", "bin"])
-    placed = inside.groupBy(*GROUP, "bin", "time").agg(
-        F.sum("c").alias("c"), *[F.max(c).alias(c) for c in known]
+    path = None
+    for i, (above, shift) in enumerate(zip([first, *later], later)):
+        if i:
+            written, now = write_table(groups, "medians")
+            if path is not None:
+                remove(run.sparkSession, path)
+            groups, path = written, now
+        groups = _narrowed(experiment, timed, groups, suite, above, shift)
+    middle = [F.col(f"{m}.prefix").bitwiseXOR(F.lit(LOWEST)).cast("double") for m in ("lower", "upper")]
+    return groups.select(*GROUP, *TOTALS, ((middle[0] + middle[1]) / 2).alias("median"))
+
+
+def _narrowed(
+    experiment: DataFrame, timed: DataFrame, groups: DataFrame, suite: str | None, above: int, shift: int
+) -> DataFrame:
+    """The groups with their middle ranks known down to ``shift``, from those known down to ``above``."""
+    begun = F.explode(F.array_distinct(F.array("lower.prefix", "upper.prefix"))).alias("prefix")
+    wanted = groups.filter("timed > 0").select(*GROUP, begun)
+    ids = _named(experiment, suite).alias("e").join(wanted.alias("w"), _same_group("e", "w")).select(
+        F.col("e.id").alias("experiment_id"), *[f"e.{c}" for c in GROUP], "w.prefix"
     )
-    # The middle bins of a group are neighbours, so one running count passes through both.
-    reached = F.min("before").over(whole) + F.sum("c").over(whole.orderBy("bin", "time"))
-    placed = placed.withColumn("upto", reached).withColumn("before", F.col("upto") - F.col("c"))
-    picked = [F.max(F.when(holds(r), F.col("time"))).cast("double") for r in (lower, upper)]
-    return placed.groupBy(*GROUP).agg(
-        *[F.max(c).alias(c) for c in ("lo", "hi", "total", "timed", "runs")],
-        ((picked[0] + picked[1]) / 2).alias("median"),
+    runs = timed.select("experiment_id", _prefix(above).alias("prefix"), _prefix(shift).alias("bin"))
+    counted = runs.join(ids, ["experiment_id", "prefix"]).groupBy(*GROUP, "prefix", "bin").agg(F.count(F.lit(1)).alias("c"))
+    counts = counted.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("prefix", "bin", "c"))).alias("counts"))
+    met = groups.alias("g").join(counts.alias("n"), _same_group("g", "n"), "left")
+    return met.select(
+        *[F.col(f"g.{c}") for c in [*GROUP, *TOTALS]],
+        *[
+            _select("n.counts", F.col(f"g.{m}.rank"), F.col(f"g.{m}.prefix")).alias(m)
+            for m in ("lower", "upper")
+        ],
     )
 
 
@@ -140,22 +190,37 @@ def listing(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
     )
 
 
-def expected_runs(expected: DataFrame) -> DataFrame:
-    """``(experiment_id, run)`` with runs 1 … n from ``(experiment_id, runs)``.
-
-    An experiment is cut into blocks of runs that are spread before they are written out, so one
-    with very many runs is neither built as one array nor by one task.
-    """
+def _expected_words(expected: DataFrame) -> DataFrame:
+    """``(experiment_id, word, bits)``: the expected runs, run r as bit (r - 1) % WORD of word (r - 1) / WORD."""
     runs = F.col("runs").cast("bigint")
-    last_block = F.floor((runs - 1) / RUN_BLOCK)
-    blocks = (
-        expected.filter(runs >= 1)
-        .select("experiment_id", runs.alias("runs"), F.explode(F.sequence(F.lit(0), last_block)))
-        .repartition("experiment_id", "col")
+    last = F.floor((runs - 1) / WORD)
+    chunks = expected.filter(runs >= 1).select(
+        "experiment_id", runs.alias("runs"), last.alias("last"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK_WORDS))).alias("chunk"),
+    )
+    begin = F.col("chunk") * CHUNK_WORDS
+    words = chunks.select(
+        "experiment_id", "runs", F.explode(F.sequence(begin, F.least(begin + CHUNK_WORDS - 1, F.col("last")))).alias("word")
+    )
+    missing = F.greatest((F.col("word") + 1) * WORD - F.col("runs"), F.lit(0)).cast("int")
+    full = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), missing)
+    return words.select("experiment_id", "word", full.alias("bits"))
+
+
+def _runs_of(words: DataFrame) -> DataFrame:
+    """``(experiment_id, run)`` of the bits that are set."""
+    places = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD - 1)),
+        lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1,
     )
-    first = F.col("col") * RUN_BLOCK + 1
-    last = F.least(first + RUN_BLOCK - 1, F.col("runs"))
-    return blocks.select("experiment_id", F.explode(F.sequence(first, last)).alias("run"))
+    return words.filter("bits != 0").select(
+        "experiment_id", F.explode(F.transform(places, lambda i: F.col("word") * WORD + i + 1)).alias("run")
+    )
+
+
+def expected_runs(expected: DataFrame) -> DataFrame:
+    """``(experiment_id, run)`` with runs 1 … n from ``(experiment_id, runs)``."""
+    return _runs_of(_expected_words(expected))
 
 
 def pending_runs(
@@ -165,13 +230,24 @@ def pending_runs(
 
     ``expected`` is ``(experiment_id, runs)`` with runs numbered from 1; ``finished`` holds the
     ``(experiment_id, run)`` pairs that succeeded, possibly repeated. ``force`` asks for all.
+
+    Finished runs become words of WORD bits, made within the tasks first, and are taken off the expected
+    words; both sides move once, at most a row per 64 runs, and only open runs become rows, behind the join.
     """
-    wanted = expected_runs(expected)
+    wanted = _expected_words(expected)
     if force:
-        return wanted
-    # Reduced in the map tasks first: a run that is logged many times is shipped once per task.
-    done = finished.select("experiment_id", F.col("run").cast("bigint").alias("run")).distinct()
-    return wanted.join(done, ["experiment_id", "run"], "left_anti")
+        return _runs_of(wanted)
+    run = F.col("run").cast("bigint") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(run, F.lit(WORD)).cast("int"))
+    done = (
+        finished.filter(run >= 0)
+        .select("experiment_id", F.floor(run / WORD).alias("word"), bit.alias("bit"))
+        .groupBy("experiment_id", "word")
+        .agg(F.bit_or("bit").alias("done"))
+    )
+    met = wanted.join(done, ["experiment_id", "word"], "left")
+    left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("bigint"))))
+    return _runs_of(met.select("experiment_id", "word", left.alias("bits")))
 
 
 def pending_experiments(expected: DataFrame, finished: DataFrame, force: bool = False) -> DataFrame:

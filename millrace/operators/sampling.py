@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.uniform import keyed_digest, keyed_uniform
+from millrace.functions.vectors import vector_kind
+from millrace.plans.scratch import write_table
 
 TASK_BYTES = 128 * 1024 * 1024
 
@@ -38,19 +40,95 @@ def sample_k(df: DataFrame, key: str, k: int, seed: int = 42, partial: int | Non
     return df.orderBy(digest, F.col(key)).limit(k)
 
 
+def smallest_digests(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """The rows of :func:`sample_k` in no order, for any k, without sorting them in one place.
+
+    Rounds of counting by hexadecimal digits of the digest find the last one that belongs: a round gives
+    at most 2^(4 DIGITS) counts, and only a digest prefix held by at most LAST rows is sorted.
+    """
+    if k <= 0:
+        return df.filter(F.lit(False))
+    digest = keyed_digest(seed, _text_key(key))
+    keyed = df.withColumn("_digest", digest)
+    prefix, left = "", k
+    while True:
+        width = len(prefix) + DIGITS
+        part = keyed.filter(F.startswith("_digest", F.lit(prefix)))
+        counts = part.groupBy(F.substring("_digest", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+        found = sorted((r["p"], r["c"]) for r in counts.collect())  # at most 2^(4 DIGITS)
+        last = None
+        for p, c in found:
+            if c >= left:
+                last = p, c
+                break
+            left -= c
+        if last is None:  # fewer rows than asked for
+            return df
+        prefix = last[0]
+        if last[1] == left:
+            return keyed.filter(F.substring("_digest", 1, width) <= prefix).drop("_digest")
+        if last[1] <= LAST or width >= DIGEST_LENGTH:
+            break
+    inside = keyed.filter(F.startswith("_digest", F.lit(prefix)))
+    # rows that share the last digest share the key, too; as many of them as are missing are taken
+    tail = inside.orderBy("_digest", key).limit(left).drop("_digest")
+    before = keyed.filter(F.substring("_digest", 1, len(prefix)) < prefix).drop("_digest")
+    return before.unionByName(tail)
+
+
+#: Digits of a digest that one round of counting looks at, all its digits, and rows that are sorted in one place.
+DIGITS, DIGEST_LENGTH, LAST = 3, 32, 10_000
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with a number from 0 in the given order, without gaps and without a window over all rows.
+
+    Rows are dealt out by range and sorted within their parts; a part's rows are counted, and what the
+    earlier parts hold is added. Only one count per part is put in order in one place. The sorted rows
+    are written once, to the shared folder, so that both steps see the same parts.
+    """
+    spark = df.sparkSession
+    keys = [f"_o{i}" for i in range(len(order))]
+    placed = df.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    table, _ = write_table(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", PART_BITS)
+    counts = table.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per part
+    offsets, total = [], 0
+    for r in sorted(counts, key=lambda r: r["_part"]):
+        offsets.append((r["_part"], total))
+        total += r["n"]
+    known = F.broadcast(spark.createDataFrame(offsets, "_part bigint, _before bigint"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    joined = table.withColumn("_part", part).join(known, "_part")
+    return joined.select(*df.columns, (F.col("_before") + within).alias(name))
+
+
+#: Low bits of a monotonically increasing id that count the rows of a part.
+PART_BITS = 33
+#: Sampled rows up to which a window numbers them.
+LOCAL_K = 10_000
+
+
 def initial_centers(
     points: DataFrame, key: str, k: int, seed: int = 42, features: str = "features"
 ) -> DataFrame:
-    """k sampled points as ``(cid, center)``, ids 0 … k-1 in sampling order.
+    """k sampled points as ``(cid, center)``, ids 0 … k-1 in sampling order; sparse points stay sparse.
 
-    The window runs over the k sampled rows, never over the points.
+    Up to LOCAL_K of them are merged and numbered in one place, never the points. More are found by counting
+    digests and numbered by ranges; the centers are the same. With repeated keys, which of the rows gets which
+    number is open.
     """
-    order = Window.orderBy(keyed_digest(seed, _text_key(key)), F.col(key))
-    picked = sample_k(points.select(key, features), key, k, seed)
-    return picked.select(
-        (F.row_number().over(order) - 1).alias("cid"),
-        F.col(features).cast("array<double>").alias("center"),
-    )
+    wanted = points.select(key, features)
+    sparse = vector_kind(points, features) == "sparse"
+    center = F.col(features) if sparse else F.col(features).cast("array<double>")
+    order = [keyed_digest(seed, _text_key(key)), F.col(key)]
+    if k <= LOCAL_K:
+        picked = sample_k(wanted, key, k, seed)
+        number = F.row_number().over(Window.orderBy(*order)) - 1
+    else:
+        picked = numbered(smallest_digests(wanted, key, k, seed), order, "cid")
+        number = F.col("cid").cast("int")
+    return picked.select(number.alias("cid"), center.alias("center"))
 
 
 def poisson_steps(mean: float) -> list[float]:

@@ -22,16 +22,23 @@ from millrace.plans.table_queries import (
     SEED,
     SPARSE_THRESHOLD,
     WIDE_BUCKETS,
+    WIDE_PARTS,
 )
 from millrace.sources.clicklog import CAT_COLS, INT_COLS
 
 # --- points and training -------------------------------------------------------------------------
 
 POINTS = "pts AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
-INIT = f"""c0 AS (
+
+
+def _initial(k: int) -> str:
+    return f"""c0 AS (
   SELECT CAST(row_number() OVER (ORDER BY md5('{SEED}:' || vec_id), vec_id) - 1 AS INTEGER) AS cid,
          x AS c
-  FROM (SELECT * FROM pts ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT {K}))"""
+  FROM (SELECT * FROM pts ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT {k}))"""
+
+
+INIT = _initial(K)
 
 
 def _distance(a: str, b: str) -> str:
@@ -276,13 +283,15 @@ _PART_SIGMAS = _with_uniform(
 
 _M = MIXTURE
 _SLOTS = 2 + 2 * _M.d
-_GENERATED = f"""
+def _generated(source: str) -> str:
+    """CTEs of the generator for the ids `o_orderkey` of ``source``."""
+    return f"""
 mc AS ({_with_uniform(
     f"SELECT cid, dim FROM range({_M.k}) r(cid), range(1, {_M.d + 1}) s(dim)",
     f"cid * {_M.d} + dim - 1")}),
 ms AS ({_with_uniform(f"SELECT cid FROM range({_M.k}) r(cid)", f"{_M.k * _M.d} + cid")}),
 draws AS ({_with_uniform(
-    f"SELECT o_orderkey, slot FROM orders, range({_SLOTS}) r(slot)",
+    f"SELECT o_orderkey, slot FROM {source}, range({_SLOTS}) r(slot)",
     f"{_M.k * (_M.d + 1)} + o_orderkey * {_SLOTS} + slot")}),
 heads AS (
   SELECT o_orderkey,
@@ -294,6 +303,11 @@ pairs AS (
          max(u) FILTER (slot % 2 = 0) AS u1, max(u) FILTER (slot % 2 = 1) AS u2
   FROM draws WHERE slot >= 2 GROUP BY 1, 2)"""
 
+
+_GENERATED = _generated("orders")
+#: As many ids from 0 as there are orders.
+_NUMBERED = _generated("(SELECT row_number() OVER () - 1 AS o_orderkey FROM orders) o")
+
 # --- run log -------------------------------------------------------------------------------------
 
 RUNLOG = """experiment AS (SELECT p_partkey AS id, p_brand AS suite, p_name AS name FROM part),
@@ -414,7 +428,10 @@ _FAR = f"""{POINTS}, {INIT}, a AS (
 _NULL_KEYED = """keyed AS (
   SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS key, o_totalprice FROM orders)"""
 _TEXT_KEY = "coalesce(CAST(key AS VARCHAR), chr(0) || 'null')"
-_GENERATED_POINTS = f"""{_GENERATED}, drawn AS (
+
+
+def _generated_points(generated: str, k: int = K) -> str:
+    return f"""{generated}, drawn AS (
   SELECT o_orderkey AS vec_id, pairs.dim AS dim,
     mc.u * {_M.center_range}::DOUBLE - {_M.center_range / 2}::DOUBLE + CASE WHEN is_noise
       THEN u1 * {_M.sigma_limit}::DOUBLE
@@ -422,7 +439,40 @@ _GENERATED_POINTS = f"""{_GENERATED}, drawn AS (
   FROM heads JOIN pairs USING (o_orderkey)
   JOIN mc ON mc.cid = true_cid AND mc.dim = pairs.dim JOIN ms ON ms.cid = true_cid),
 pts AS MATERIALIZED (SELECT vec_id, list(v ORDER BY dim) AS x FROM drawn GROUP BY vec_id),
-{INIT}"""
+{_initial(k)}"""
+
+
+_GENERATED_POINTS = _generated_points(_GENERATED)
+
+# Points and training with all small values at zero; prepared click-log rows as points.
+_SPARSE_TRAINED = f"""WITH pts AS (SELECT vec_id, {_sparse('embedding::DOUBLE[]')} AS x FROM embeddings),
+{INIT},
+{_rounds(ROUNDS)}
+SELECT cid, CAST(dim AS INTEGER) AS dim, round(m, 6) + 0.0 AS x FROM l{ROUNDS}"""
+_LIBSVM_TRAINED = f"""{_PREP}, {VECTORS}, dims AS (
+  SELECT event_id AS vec_id, d AS dim, coalesce(val, 0.0) AS v
+  FROM (SELECT event_id, d FROM events, range(1, {len(INT_COLS) + BUCKETS + 1}) r(d))
+  LEFT JOIN (SELECT event_id, idx AS d, val FROM vectors) USING (event_id, d)),
+pts AS MATERIALIZED (SELECT vec_id, list(v ORDER BY dim) AS x FROM dims GROUP BY vec_id),
+{INIT},
+{_rounds(ROUNDS)}
+SELECT cid, CAST(dim AS INTEGER) AS dim, round(m, 6) + 0.0 AS x FROM l{ROUNDS} WHERE m <> 0"""
+
+# Sampled click log: a row per copy, known by event and copy; statistics divide by the declared size.
+_SAMPLED_ROWS = DECLARED_ROWS * FRACTION
+_SAMPLED = f"""all_rows AS (SELECT {', '.join(CLICKLOG_COLUMNS)} FROM events),
+clicklog AS (SELECT * REPLACE (event_id * 1000 + copy AS event_id) FROM (
+  SELECT *, unnest(range({_copies('event_id')})) AS copy FROM all_rows))"""
+
+
+def _declared_stats() -> str:
+    parts = []
+    for j, c in enumerate(INT_COLS, 1):
+        mean = f"(sum({c})::DOUBLE / {_SAMPLED_ROWS})"
+        square = f"(sum({c} * {c})::DOUBLE - 2 * {mean} * sum({c}) + count(*) * {mean} * {mean})"
+        parts.append(f"{mean} AS m{j}, sqrt({square} / {_SAMPLED_ROWS}) AS s{j}")
+    return f"stats AS (SELECT {', '.join(parts)} FROM filled)"
+
 
 ORACLES |= {
     "nearest_center_sparse": f"WITH {_FAR} SELECT vec_id, cid, round(d, 6) AS d FROM a",
@@ -445,3 +495,37 @@ SELECT cid, CAST(dim AS INTEGER) AS dim, round(m, 6) + 0.0 AS x FROM l{ROUNDS}""
 }
 ORACLES["nearest_center_native"] = ORACLES["nearest_center"]
 ORACLES["vector_mean_by_cluster_native"] = ORACLES["vector_mean_by_cluster"]
+_LINES = f"""counts AS (
+  SELECT event_id, string_agg((idx + {_SHIFT}) || ':' || val, ' ' ORDER BY idx) AS hashed
+  FROM entries GROUP BY event_id)
+SELECT concat_ws(' ', CAST({_LABEL} AS VARCHAR), """ + (
+    ", ".join(f"'{j}:' || printf('%.6f', z{j})" for j in _INTS)
+    + ", hashed) AS value FROM zscores LEFT JOIN counts USING (event_id)"
+)
+ORACLES |= {
+    "kmeans_lloyd_sparse": _SPARSE_TRAINED,
+    "kmeans_lloyd_sparse_blocks": _SPARSE_TRAINED,
+    "kmeans_lloyd_libsvm": _LIBSVM_TRAINED,
+    "kmeans_lloyd_blocks": _TRAINED,
+    "kmeans_fit_library": _TRAINED,
+    "nearest_center_blocks": ORACLES["nearest_center"],
+    "nearest_center_native_blocks": ORACLES["nearest_center"],
+    "sqdist_sparse_long": ORACLES["sqdist_sparse_sparse"],
+    "sqdist_dense_wide": _pair_distance(
+        *(f"flatten([[e * i for e in {v}] for i in range(1, {WIDE_PARTS + 1})])" for v in "ab")
+    ),
+    "dimension_check": "SELECT vec_id, label % 3 = 0 AS dense, label % 3 = 0 AS sparse FROM embeddings",
+    "materialize_once": "SELECT o_orderkey, o_totalprice FROM orders",
+    "libsvm_lines_declared_sampled": (
+        f"WITH {_SAMPLED}, {FILLED}, {TOKENS}, {HASHES}, {ENTRIES}, {_declared_stats()}, {ZSCORES}, {_LINES}"
+    ),
+    "gen_mixture": f"""WITH {_NUMBERED}
+SELECT o_orderkey AS point_id, true_cid, CAST(pairs.dim AS INTEGER) AS dim,
+  round(mc.u * {_M.center_range}::DOUBLE - {_M.center_range / 2}::DOUBLE + CASE WHEN is_noise
+    THEN u1 * {_M.sigma_limit}::DOUBLE
+    ELSE ms.u * {_M.sigma_limit}::DOUBLE * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) END, 6) + 0.0 AS x
+FROM heads JOIN pairs USING (o_orderkey)
+JOIN mc ON mc.cid = true_cid AND mc.dim = pairs.dim JOIN ms ON ms.cid = true_cid""",
+    "train_mixture": f"""WITH {_generated_points(_NUMBERED, _M.k)}, {_rounds(ROUNDS)}
+SELECT cid, CAST(dim AS INTEGER) AS dim, round(m, 6) + 0.0 AS x FROM l{ROUNDS}""",
+}

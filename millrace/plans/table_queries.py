@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, uniform, vectors
-from millrace.operators import datagen, features, kmeans, nearest, runlog, sampling
+from millrace.operators import datagen, distances, features, kmeans, nearest, runlog, sampling
 from millrace.plans import scratch
-from millrace.sources import clicklog, dense, libsvm, parallelism
+from millrace.sources import clicklog, dense, libsvm, parallelism, tables
 from millrace.sources.clicklog import CAT_COLS, INT_COLS, LABEL
 
 K = 5
@@ -30,6 +30,10 @@ FRACTION = 1.5
 FAR = 1e6
 DECLARED_ROWS = 12_000
 SAMPLE_SIZE = 20
+#: A model budget that the initial centers exceed, so that they are searched in blocks.
+TINY_BUDGET = 1024
+#: Factors by which a vector is repeated to make a wide one.
+WIDE_PARTS = 16
 MIXTURE = datagen.Mixture(d=4, k=3, seed=SEED)
 PART_MIXTURE_D = 4
 
@@ -70,7 +74,7 @@ MISSING_INT = -1_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
@@ -431,6 +435,117 @@ def prepared_count(spark, sf_dir):
     )
 
 
+def _sparse_points(spark, sf_dir):
+    return _points(spark, sf_dir).select("vec_id", vectors.sparsify("features", SPARSE_THRESHOLD).alias("features"))
+
+
+def _sparse_training(spark, sf_dir, **options):
+    """Sparse points from dense centers, which are the same points filled up."""
+    kept = F.transform("features", lambda x: F.when(F.abs(x) > SPARSE_THRESHOLD, x).otherwise(F.lit(0.0)))
+    filled = _points(spark, sf_dir).select("vec_id", kept.alias("features"))
+    init = sampling.initial_centers(filled, "vec_id", K, SEED)
+    trained = kmeans.fit_lloyd(_sparse_points(spark, sf_dir), init, ROUNDS, **options)
+    return kmeans.long_form(trained).select("cid", "dim", _rounded("x"))
+
+
+def kmeans_lloyd_sparse(spark, sf_dir):
+    return _sparse_training(spark, sf_dir)
+
+
+def kmeans_lloyd_sparse_blocks(spark, sf_dir):
+    return _sparse_training(spark, sf_dir, budget=TINY_BUDGET)
+
+
+def kmeans_lloyd_libsvm(spark, sf_dir):
+    """Training on prepared lines read back from text; sparse centers, of which stored values are compared."""
+    ready = _prepared(spark, sf_dir)
+    entries = features.assemble(len(INT_COLS))
+    size = len(INT_COLS) + BUCKETS
+    vector = F.struct(
+        F.lit(size).alias("size"),
+        F.transform("entries", lambda e: e["idx"] - 1).alias("indices"),
+        F.transform("entries", lambda e: e["val"]).alias("values"),
+    )
+    prepared = ready.select("event_id", entries.alias("entries")).select("event_id", vector.alias("features"))
+    init = sampling.initial_centers(prepared, "event_id", K, SEED)
+    path = scratch.new_path(spark, "libsvm")
+    lines = features.standardize_and_hash(_clicklog(spark, sf_dir), LABEL, INT_COLS, CAT_COLS, BUCKETS)
+    libsvm.write_lines(lines, path)
+    trained = kmeans.fit_lloyd(libsvm.read_libsvm(spark, path, size), init, ROUNDS)
+    stored = libsvm.sparse_entries(trained, "center").filter("val != 0")
+    return stored.select("cid", F.col("idx").alias("dim"), F.col("val").alias("x")).select("cid", "dim", _rounded("x"))
+
+
+def kmeans_lloyd_blocks(spark, sf_dir):
+    trained = kmeans.fit_lloyd(_points(spark, sf_dir), _init(spark, sf_dir), ROUNDS, budget=TINY_BUDGET)
+    return kmeans.long_form(trained).select("cid", "dim", _rounded("x"))
+
+
+def kmeans_fit_library(spark, sf_dir):
+    trained = kmeans.fit(_points(spark, sf_dir), _init(spark, sf_dir), ROUNDS, method="library", k=K)
+    return kmeans.long_form(trained).select("cid", "dim", _rounded("x"))
+
+
+def nearest_center_blocks(spark, sf_dir):
+    found = nearest.nearest_center(_points(spark, sf_dir), _init(spark, sf_dir), budget=TINY_BUDGET)
+    return found.select("vec_id", "cid", F.round("sqdist", 6).alias("d"))
+
+
+def nearest_center_native_blocks(spark, sf_dir):
+    found = nearest.nearest_center(
+        _points(spark, sf_dir), _init(spark, sf_dir), engine="native", budget=TINY_BUDGET
+    )
+    return found.select("vec_id", "cid", F.round("sqdist", 6).alias("d"))
+
+
+def sqdist_sparse_long(spark, sf_dir):
+    entries = distances.long_form(_sparse_points(spark, sf_dir), "vec_id")
+    pairs = _neighbours(spark, sf_dir).select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    found = distances.long_distances(
+        entries.withColumnRenamed("vec_id", "a"), entries.withColumnRenamed("vec_id", "b"), pairs
+    )
+    return found.select(F.col("a").alias("vec_id"), F.col("sqdist").alias("d")).select("vec_id", _rounded("d"))
+
+
+def _widened(vector: str):
+    part = F.transform(F.sequence(F.lit(1), F.lit(WIDE_PARTS)), lambda i: F.transform(vector, lambda x: x * i))
+    return F.flatten(part)
+
+
+def sqdist_dense_wide(spark, sf_dir):
+    # a generator of one row: Spark does not hand expressions with lambdas to an Arrow function
+    both = F.struct(_widened("a").alias("a"), _widened("b").alias("b"))
+    wide = _neighbours(spark, sf_dir).select("vec_id", F.inline(F.array(both)))
+    return wide.select("vec_id", distances.wide_sqdist("a", "b").alias("d")).select("vec_id", _rounded("d"))
+
+
+def dimension_check(spark, sf_dir):
+    """Vectors cut to a length by their label, against whole and against sparse ones."""
+    cut = _points(spark, sf_dir).select(
+        "vec_id", F.slice("features", F.lit(1), F.lit(64) - F.col("label") % 3).alias("a"), F.col("features").alias("b")
+    ).withColumn("c", vectors.sparsify("b", SPARSE_THRESHOLD))
+    return cut.select(
+        "vec_id",
+        vectors.same_dimension(cut, "a", "b").alias("dense"),
+        vectors.same_dimension(cut, "a", "c").alias("sparse"),
+    )
+
+
+def materialize_once(spark, sf_dir):
+    """The second call finds the finished copy and leaves its own input alone."""
+    path = scratch.new_path(spark, "once")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    scratch.materialize(orders, path)
+    return scratch.materialize(orders.filter("o_orderkey < 0"), path)
+
+
+def libsvm_lines_declared_sampled(spark, sf_dir):
+    return features.standardize_and_hash(
+        _clicklog(spark, sf_dir), LABEL, INT_COLS, CAT_COLS, BUCKETS,
+        fraction=FRACTION, seed=SEED, n=DECLARED_ROWS, key="event_id", digits=6,
+    )
+
+
 # --- sampling and generation ---------------------------------------------------------------------
 
 
@@ -534,6 +649,25 @@ def train_generated(spark, sf_dir):
     return kmeans.long_form(trained).select("cid", "dim", _rounded("x"))
 
 
+def _mixture(spark, sf_dir):
+    """The generator as one call, for as many rows as there are orders."""
+    n = _table(spark, sf_dir, "orders").count()
+    return datagen.gaussian_mixture(spark, datagen.Mixture(d=MIXTURE.d, k=MIXTURE.k, seed=SEED), n_rows=n)
+
+
+def gen_mixture(spark, sf_dir):
+    points, _, _ = _mixture(spark, sf_dir)
+    return points.select("point_id", "true_cid", F.posexplode_outer("features").alias("dim", "x")).select(
+        "point_id", "true_cid", (F.col("dim") + 1).alias("dim"), _rounded("x")
+    )
+
+
+def train_mixture(spark, sf_dir):
+    points, _, init = _mixture(spark, sf_dir)
+    trained = kmeans.fit_lloyd(points, init, ROUNDS)
+    return kmeans.long_form(trained).select("cid", "dim", _rounded("x"))
+
+
 # --- run log -------------------------------------------------------------------------------------
 
 
@@ -628,5 +762,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         final_centers_sink,
         gen_initial_centers,
         train_generated,
+        kmeans_lloyd_sparse,
+        kmeans_lloyd_sparse_blocks,
+        kmeans_lloyd_libsvm,
+        kmeans_lloyd_blocks,
+        kmeans_fit_library,
+        nearest_center_blocks,
+        nearest_center_native_blocks,
+        sqdist_sparse_long,
+        sqdist_dense_wide,
+        dimension_check,
+        materialize_once,
+        libsvm_lines_declared_sampled,
+        gen_mixture,
+        train_mixture,
     )
 }

@@ -115,7 +115,39 @@ def test_pending(spark):
     assert runlog.pending_runs(expected, done, force=True).count() == 6
 
 
-def test_many_expected_runs(spark):
-    expected = spark.createDataFrame([(1, 3 * runlog.RUN_BLOCK + 5), (2, 1)], "experiment_id int, runs int")
+def test_many_expected_runs(spark, monkeypatch):
+    monkeypatch.setattr(runlog, "CHUNK_WORDS", 3)
+    expected = spark.createDataFrame([(1, 1000), (2, 1), (3, 64), (4, 65)], "experiment_id int, runs int")
     rows = sorted(tuple(r) for r in runlog.expected_runs(expected).collect())
-    assert rows == [(1, i) for i in range(1, 3 * runlog.RUN_BLOCK + 6)] + [(2, 1)]
+    assert rows == [(e, i) for e, n in ((1, 1000), (2, 1), (3, 64), (4, 65)) for i in range(1, n + 1)]
+
+
+def test_one_experiment_with_ten_million_runs(spark):
+    n = 10_000_000
+    expected = spark.createDataFrame([(1, n), (2, 3)], "experiment_id long, runs long")
+    done = spark.range(1, n + 1).filter("id % 1000003 != 0").selectExpr("1L AS experiment_id", "id AS run")
+    pending = runlog.pending_runs(expected, done)
+    open_ = [(1, 1000003 * i) for i in range(1, 10)] + [(2, 1), (2, 2), (2, 3)]
+    assert sorted(tuple(r) for r in pending.collect()) == open_
+    plan = pending._jdf.queryExecution().optimizedPlan().toString()
+    # what opens the words stands above the join; below it there are words only
+    above, below = plan[: plan.index("Join")], plan[plan.index("Join") :]
+    assert "run#" in above and "AS bits" in below and "filter(sequence" not in below
+
+
+@pytest.mark.parametrize("digit", [3, 12])
+def test_medians_of_one_group_with_wide_times(spark, monkeypatch, digit):
+    """All runs in one group, times to 2^50, below zero, and repeated."""
+    monkeypatch.setattr(runlog, "DIGIT", digit)
+    rng = random.Random(digit)
+    times = [rng.choice([rng.randrange(2**50), rng.randrange(2**20), 7, -rng.randrange(2**33)]) for _ in range(3001)]
+    experiment = spark.createDataFrame([(i, "s", None) for i in range(20)], EXPERIMENT)
+    for n in (1, 2, 3000, 3001):
+        run = spark.createDataFrame([(i % 20, i, t) for i, t in enumerate(times[:n])], RUN).repartition(4)
+        got = runlog.profile(experiment, run).collect()
+        assert [(r.suite, r["name"], r.median, r.runs) for r in got] == [("s", None, float(statistics.median(times[:n])), n)]
+        if digit == 3 and n == 2:
+            break
+    plan = runlog.profile(experiment, run)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+

@@ -113,3 +113,30 @@ def test_native_sampler(spark):
 def test_negative_fraction(spark):
     with pytest.raises(ValueError):
         sampling.sample_poisson(spark.range(1), "id", -0.1)
+
+
+@pytest.mark.parametrize("k", [0, 1, 50, 699, 700, 5000])
+@pytest.mark.parametrize("last", [2, 10_000])
+def test_smallest_digests_are_the_sample(spark, monkeypatch, k, last):
+    monkeypatch.setattr(sampling, "LAST", last)
+    df = spark.range(700).withColumn("key", F.when(F.col("id") % 9 != 0, F.col("id"))).repartition(3)
+    want = sorted(str(r.key) for r in sampling.sample_k(df, "key", k).collect()) if k else []
+    got = sampling.smallest_digests(df, "key", k).collect()
+    assert sorted(str(r.key) for r in got) == want and got == [] or len(got) == min(k, 700)
+
+
+def test_many_initial_centers_are_numbered_by_ranges(spark, monkeypatch):
+    points = spark.range(500).select(F.col("id"), F.array(F.col("id").cast("double")).alias("features")).repartition(4)
+    few = {r.cid: r.center for r in sampling.initial_centers(points, "id", 123).collect()}
+    monkeypatch.setattr(sampling, "LOCAL_K", 10)
+    many = sampling.initial_centers(points, "id", 123)
+    assert {r.cid: r.center for r in many.collect()} == few and sorted(few) == list(range(123))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan and "TakeOrdered" not in plan
+
+
+def test_a_million_initial_centers(spark):
+    points = spark.range(0, 1_200_000, 1, 4).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    many = sampling.initial_centers(points, "id", 1_000_000)
+    one = many.agg(F.count("*"), F.min("cid"), F.max("cid"), F.countDistinct("cid")).first()
+    assert tuple(one) == (1_000_000, 0, 999_999, 1_000_000)
