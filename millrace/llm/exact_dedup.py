@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _head(FIRST_BYTES).alias("head"),
         _tail(FIRST_BYTES).alias("rest"),
     )
-    shared = _shared(first, ["size", "head"], F.count(F.lit(1)).alias("n"))
+    shared, groups = _shared(first, ["size", "head"], F.count(F.lit(1)).alias("n"))
     state, path = write_table(
         _meet(first, shared, ["size", "head"]).select(
             "row",
@@ -63,13 +63,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "radix",
     )
+    remove(spark, groups)
     done = [state.filter("alone").select(_finished(F.col("id"), F.lit(1), F.lit(True)))]
     state, keys, width, paths = state.filter("NOT alone"), ["size", "head"], FIRST_BYTES, [path]
     while not state.isEmpty():
         width = min(width * GROWTH, MOST_BYTES)
         split = state.withColumn("piece", _head(width)).withColumn("rest", _tail(width))
         top = F.max(F.struct("id", "number")).alias("top")
-        shared = _shared(split, [*keys, "piece"], F.count(F.lit(1)).alias("n"), top)
+        shared, groups = _shared(split, [*keys, "piece"], F.count(F.lit(1)).alias("n"), top)
         over = F.col("n").isNull() | (F.octet_length("rest") == 0)
         stored, path = write_table(
             _meet(split, shared, [*keys, "piece"]).select(
@@ -78,6 +79,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ),
             "radix",
         )
+        remove(spark, groups)
         keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id"))
         kept = F.coalesce(F.col("number") == F.col("top.number"), F.lit(True))
         size = F.coalesce("n", F.lit(1))
@@ -104,9 +106,9 @@ def _finished(keep_id: Column, size: Column, kept: Column) -> Column:
     ).alias("result")
 
 
-def _shared(rows: DataFrame, keys: list[str], *counts: Column) -> DataFrame:
-    """The groups of two and more, written so that the join's sides are plain shuffles."""
-    return write_and_read(rows.groupBy(*keys).agg(*counts).filter("n > 1"), "radix-groups")
+def _shared(rows: DataFrame, keys: list[str], *counts: Column) -> tuple[DataFrame, str]:
+    """The groups of two and more, written so that the join's sides are plain shuffles; and their path."""
+    return write_table(rows.groupBy(*keys).agg(*counts).filter("n > 1"), "radix-groups")
 
 
 def _meet(rows: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
