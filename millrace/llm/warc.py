@@ -4,8 +4,10 @@ A capture is a transaction of three records: request, response (or revisit) and
 the last name the second as the record they are concurrent to; assembly joins them by that id.
 
 Writing goes through Spark's text writer: a record ends with two line breaks, which is what the writer
-puts after each row, so a lost task is simply written again. Archives are compressed files of a bounded
-number of records. Records are found by their declared lengths, never by searching for separators.
+puts after each row, so a lost task is simply written again. Pages are written by classes of size, and
+an archive, a compressed file, holds as many records of its class as fit its bytes at the class's upper
+bound: a run of large pages makes more archives, not larger ones. Records are found by their declared
+lengths, never by searching for separators.
 """
 
 from __future__ import annotations
@@ -13,17 +15,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import text_or_empty
-from millrace.plans.scratch import write_and_read
+from millrace.plans.scratch import remove, write_table
 
 BREAK = "\r\n"
 #: Payloads from this size on are stored once and revisited.
 LEAST_REVISITED = 1000
-#: Bytes of records that an archive holds before compression, on average.
+#: Bytes of records that an archive holds before compression, at most, unless one page alone has more.
 ARCHIVE_BYTES = 16 << 20
+#: Payload sizes are told apart by these bounds; an archive holds pages of one class.
+CLASSES = [16 << 10, 128 << 10, 1 << 20, 8 << 20]
+#: Bytes of a page's three records besides its payload, addresses of ordinary length included.
+PER_PAGE = 2000
 #: Payload bytes after which the reader hands on what it has parsed.
 BATCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,8 +74,9 @@ def _record(kind: str, own_id: Column, content_type: str, block: Column, *header
     return F.concat(F.concat_ws(BREAK, *lines), F.lit(BREAK * 2), block)
 
 
-def plan_revisits(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
+def plan_revisits(pages: DataFrame, least: int = LEAST_REVISITED) -> tuple[DataFrame, str]:
     """Adds ``body`` (the payload), ``digest``, ``response_id`` and ``original_id``: the record to refer to.
+    Also returns the path of the table of groups that the result reads.
 
     Of equal payloads of ``least`` bytes or more, the record of the largest page id is the response;
     null ids come last, rows that agree in page id, address and payload share a record id and are all
@@ -88,9 +95,8 @@ def plan_revisits(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
         .filter("n > 1")
         .drop("n")
     )
-    return named.withColumn("size", F.octet_length("body")).join(
-        write_and_read(groups, "revisited"), ["digest", "size"], "left"
-    )
+    groups, path = write_table(groups, "revisited")  # written: Spark knows its size when it chooses the join
+    return named.withColumn("size", F.octet_length("body")).join(groups, ["digest", "size"], "left"), path
 
 
 def write_archives(
@@ -101,8 +107,20 @@ def write_archives(
     A null html is an empty payload, a null address an empty one; line breaks in addresses are
     percent-encoded. Other columns are not stored. An empty table gives archives without records.
     """
-    planned = plan_revisits(pages)
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    of_class = sum((F.when(size > bound, 1).otherwise(0) for bound in CLASSES), F.lit(0))
+    used = [r[0] for r in pages.select(of_class.alias("c")).distinct().collect()]  # one row per class
+    for i, c in enumerate(sorted(used) or [0]):
+        most = CLASSES[c] if c < len(CLASSES) else archive_bytes
+        planned, groups = plan_revisits(pages.filter(of_class == c))
+        _records(planned, date).write.mode("append" if i else "error").option(
+            "maxRecordsPerFile", 3 * max(1, archive_bytes // (most + PER_PAGE))
+        ).text(path, compression="gzip", lineSep=BREAK * 2)
+        remove(pages.sparkSession, groups)
+
+
+def _records(planned: DataFrame, date: str) -> DataFrame:
+    """The three records of each page, as text."""
     url = F.regexp_replace(text_or_empty(F.col("url")), r"\r", "%0D")
     url = F.regexp_replace(url, r"\n", "%0A")
     target = F.concat(F.lit("WARC-Target-URI: "), url)
@@ -130,10 +148,7 @@ def write_archives(
         F.when(revisit, again).otherwise(response),
         _record("metadata", _id(3), "application/warc-fields", fields, when, target, concurrent),
     )
-    per_page = int(mean) + 1200
-    planned.select(F.explode(records).alias("value")).write.option(
-        "maxRecordsPerFile", max(3, 3 * (archive_bytes // per_page))
-    ).text(path, compression="gzip", lineSep=BREAK * 2)
+    return planned.select(F.explode(records).alias("value"))
 
 
 def read_records(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
@@ -208,18 +223,16 @@ def assemble(spark: SparkSession, path: str) -> DataFrame:
     capture stays one row. Repeated responses stay rows of their own.
     """
 
-    def partner(kind: str) -> DataFrame:
-        own = F.struct("record_id", "target_uri", "payload_bytes", "payload")
-        return (
-            read_records(spark, path, kind)
-            .groupBy(F.col("concurrent_to").alias("capture"))
-            .agg(F.min(own).alias(kind))
-        )
+    rows = read_records(spark, path)
+    leads = F.col("record_type").isin("response", "revisit")
+    captured = rows.withColumn("capture", F.when(leads, F.col("record_id")).otherwise(F.col("concurrent_to")))
+    whole = Window.partitionBy("capture")
+    own = F.struct("record_id", "target_uri", "payload_bytes", "payload")
 
-    responses = read_records(spark, path, "response", "revisit")
-    response = F.struct(*(c for c in responses.columns if c != "concurrent_to"))
-    return (
-        responses.select(F.col("record_id").alias("capture"), response.alias("response"))
-        .join(partner("request"), "capture", "left")
-        .join(partner("metadata"), "capture", "left")
-    )
+    def partner(kind: str) -> Column:
+        found = F.min(F.when(F.col("record_type") == kind, own)).over(whole)
+        return F.when(F.col("capture").isNotNull(), found).alias(kind)
+
+    response = F.struct(*(c for c in rows.columns if c != "concurrent_to"))
+    joined = captured.select("capture", leads.alias("leads"), response.alias("response"), partner("request"), partner("metadata"))
+    return joined.filter("leads").drop("leads")
