@@ -1,5 +1,6 @@
 """The corpus operators against versions by brute force, on odd inputs and on the smallest tables."""
 
+import gzip
 import hashlib
 import random
 import time
@@ -190,6 +191,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.assemble(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_archives_of_large_pages_stay_small(spark, tmp_path):
+    """A thousand small pages and fifty of 2 MB, the large ones together."""
+    small = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("x").alias("html"))
+    own = F.concat(F.col("id").cast("string"), F.repeat(F.md5(F.col("id").cast("string")), 65_536))
+    large = spark.range(1000, 1050).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), own.alias("html"))
+    warc.write_archives(small.unionByName(large).coalesce(1), f"{tmp_path}/w", archive_bytes=16 << 20)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/w").select("content").collect()
+    lengths = [len(gzip.decompress(f.content)) for f in files]
+    assert max(lengths) <= 16 << 20 and len(lengths) <= 60
+    done = warc.assemble(spark, f"{tmp_path}/w")
+    assert done.filter("response.payload_bytes > 2000000").count() == 50 and done.count() == 1050
+    plan = done.select("response.payload_bytes", "metadata.payload")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+def test_records_without_partner(spark, tmp_path):
+    def record(kind, own, **more):
+        head = [f"WARC-Type: {kind}", *([f"WARC-Record-ID: {own}"] if own else []), *(f"{k}: {v}" for k, v in more.items())]
+        return "\r\n".join(["WARC/1.1", *head, "Content-Length: 2"]) + "\r\n\r\nxy\r\n\r\n"
+
+    link = {"WARC-Concurrent-To": "<a>"}
+    text = record("response", "<a>") + record("response", "<a>") + record("request", "<q2>", **link)
+    text += record("request", "<q1>", **link) + record("metadata", "<m>") + record("response", None) + record("request", "<q3>")
+    (tmp_path / "w.warc").write_bytes(text.encode())
+    rows = warc.assemble(spark, str(tmp_path / "w.warc")).collect()
+    got = Counter((r.response.record_id, r.request and r.request.record_id, r.metadata) for r in rows)
+    assert got == {("<a>", "<q1>", None): 2, (None, None, None): 1}
+
+
 @pytest.mark.parametrize("sites", [1, 3, 10])
 def test_line_dedup(spark, odd, empty, sites):
     rows = [(1000 + i, f"common line \nown {i}\n  \nrare {i % 2}", None, f"w{i % 7}", 0, "") for i in range(40)]
