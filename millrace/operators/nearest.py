@@ -22,7 +22,7 @@ from pyspark.storagelevel import StorageLevel
 
 from millrace.functions.vectors import distance_of, vector_kind
 from millrace.plans.limits import model_budget
-from millrace.plans.scratch import write_table
+from millrace.plans.scratch import remove, write_table
 
 NO_CENTER = -1
 LARGEST = np.finfo(np.float64).max
@@ -476,14 +476,28 @@ def nearest_center(
 
 
 def clustering_cost(
-    points: DataFrame, centers: DataFrame | Centers, features: str = "features", **options
+    points: DataFrame,
+    centers: DataFrame | Centers | CenterTable,
+    features: str = "features",
+    engine: str = "arrow",
+    budget: int | None = None,
 ) -> DataFrame:
     """One row: sum of squared distances to the nearest centers.
 
-    Points without a comparable distance (``cid = -1``) add nothing.
+    Points without a comparable distance (``cid = -1``) add nothing. Of centers beyond the budget the
+    Arrow engine reads a written copy; there the sum is worked out at once and the copy deleted.
     """
-    assigned = nearest_center(points.select(features), centers, features, **options)
-    return assigned.agg(F.coalesce(F.sum("sqdist"), F.lit(0.0)).alias("cost"))
+    spark, copy = points.sparkSession, None
+    if engine == "arrow" and isinstance(centers, DataFrame):
+        centers = model_of(centers, model_budget(spark) if budget is None else budget)
+        copy = centers.path if isinstance(centers, CenterTable) else None
+    assigned = nearest_center(points.select(features), centers, features, engine, budget)
+    cost = assigned.agg(F.coalesce(F.sum("sqdist"), F.lit(0.0)).alias("cost"))
+    if copy is None:
+        return cost
+    value = cost.first()["cost"]
+    remove(spark, copy)
+    return spark.createDataFrame([(value,)], "cost double")
 
 
 # --- sums by cluster -----------------------------------------------------------------------------

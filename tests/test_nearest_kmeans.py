@@ -153,6 +153,30 @@ def test_intermediate_tables_are_removed(spark, points, init):
     kmeans.fit_lloyd(points, init, 3, budget=60).collect()
     left = set(os.listdir(folder)) - before
     assert len(left) == 1 and left.pop().startswith("round-")
+    before = set(os.listdir(folder))
+    small = nearest.clustering_cost(points, init, budget=60).first().cost
+    assert small == pytest.approx(nearest.clustering_cost(points, init).first().cost)
+    assert set(os.listdir(folder)) == before
+
+
+def test_sparse_rounds_by_table_remove_theirs(spark):
+    import os
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    pts, rows, dense = _sparse_case(spark, 9)
+    init = spark.createDataFrame([(i, dense[i]) for i in (3, 5, 8)], CENTER)
+    before = set(os.listdir(folder))
+    kmeans.fit_lloyd(pts, init, 3, budget=30).collect()
+    assert [name.partition("-")[0] for name in set(os.listdir(folder)) - before] == ["round"]
+
+
+def test_partial_sums_are_arrays_of_a_block(spark, points, init):
+    model = nearest.collect_centers(init)
+    rows = nearest.block_rows(np.arange(3), np.ones((3, 1100)), np.array([4, 5, 6]))
+    assert rows.num_rows == 9 and [len(x) for x in rows.column("x")][:3] == [512, 512, 76]
+    assert rows.column("n").to_pylist() == [4] * 3 + [5] * 3 + [6] * 3
+    sent = nearest.assigned_sums(points, model, "features")
+    assert sent.count() == 4 and {len(r.x) for r in sent.collect()} == {3}
 
 
 def _sparse_case(spark, width, n=90, seed=3):

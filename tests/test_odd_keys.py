@@ -58,17 +58,28 @@ def test_sparse_distances_do_not_cancel(spark):
     assert nearest.clustering_cost(points, centers).first()[0] == pytest.approx(exact, rel=1e-12)
 
 
-def test_sums_agree_on_both_sides_of_the_limit(monkeypatch):
+@pytest.mark.parametrize("k", [20, 700])
+def test_dense_and_sparse_sums_agree(k):
+    """The same summation for few and many centers, and for the stored entries of sparse vectors."""
+    import pyarrow as pa
+
     rng = np.random.default_rng(5)
-    x = rng.normal(0, 3, (4000, 7))
-    model = nearest.Centers(np.arange(20), rng.normal(0, 3, (20, 7)))
-    found = []
-    for limit in (0, 256):
-        monkeypatch.setattr(nearest, "ONE_HOT_CENTERS", limit)
-        sums, counts = np.zeros((20, 7)), np.zeros(20, np.int64)
-        nearest.add_nearest(sums, counts, x, model)
-        found.append((sums.round(9), counts))
-    assert (found[0][1] == found[1][1]).all() and np.allclose(found[0][0], found[1][0], rtol=0, atol=2e-9)
+    x = rng.normal(0, 3, (4000, 7)) * (rng.random((4000, 7)) < 0.5)
+    model = nearest.Centers(np.arange(k), rng.normal(0, 3, (k, 7)))
+    sums, counts = np.zeros((k, 7)), np.zeros(k, np.int64)
+    nearest.add_nearest(sums, counts, x, model)
+    at = ((x[:, None, :] - model.matrix[None]) ** 2).sum(axis=2).argmin(axis=1)
+    want = np.zeros((k, 7))
+    np.add.at(want, at, x)
+    assert (counts == np.bincount(at, minlength=k)).all() and np.allclose(sums, want, rtol=0, atol=1e-9)
+    kept = [np.flatnonzero(row) for row in x]
+    stored = pa.array(
+        [{"size": 7, "indices": i.tolist(), "values": row[i].tolist()} for i, row in zip(kept, x)],
+        pa.struct([("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]),
+    )
+    sums, counts = np.zeros((k, 7)), np.zeros(k, np.int64)
+    nearest.add_nearest_sparse(sums, counts, nearest.SparseRows.of(stored, 7), model)
+    assert (counts == np.bincount(at, minlength=k)).all() and np.allclose(sums, want, rtol=0, atol=1e-9)
 
 
 def test_sparse_ties_and_empty_rows(spark):
