@@ -85,7 +85,7 @@ class WordEncoder(ChunkEncoder):
         parts, ends = [], []
         for s in strings:
             word = s.rstrip(".,")
-            if _is_latin(word):
+            if word.isalpha() and (word.isascii() or _is_latin(word)):
                 parts += (word.lower(), s[len(word) :])
             else:
                 parts.append(s)
@@ -97,7 +97,7 @@ class WordEncoder(ChunkEncoder):
         return out
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
-        simple = [_is_latin(p) and p == p.lower() for p in parts]
+        simple = [p.islower() and p.isalpha() and (p.isascii() or _is_latin(p)) for p in parts]
         others = iter(super().__call__([p for p, s in zip(parts, simple, strict=True) if not s]))
         return [self._word(p) if s else next(others) for p, s in zip(parts, simple, strict=True)]
 
@@ -107,8 +107,8 @@ class WordEncoder(ChunkEncoder):
 
 
 def _is_latin(word: str) -> bool:
-    """Letters below U+0180 only, and not the dotted capital I."""
-    return word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word))
+    """For letters: whether all are below U+0180, and none is the dotted capital I."""
+    return max(word) < "\u0180" and "\u0130" not in word
 
 
 def _packed(ids: list[int]) -> bytes:
