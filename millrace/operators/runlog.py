@@ -8,14 +8,15 @@ any join, so one that holds a third of all runs is no hot key. Pending runs are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.scratch import remove, write_table
 
-#: Bits of a time that one round of counting decides; a group's counts are one array of at most 2^DIGIT
-#: entries, or two.
+#: Bits of a time that one round of counting decides.
 DIGIT = 12
+#: Prefix of runs without a time; times have none below 0 in the rounds that look at prefixes.
+NO_TIME = -1
 WORD = 64
 #: Words of one array while expected runs are written out.
 CHUNK_WORDS = 4096
@@ -38,9 +39,9 @@ def _named(experiment: DataFrame, suite: str | None) -> DataFrame:
     return known.select("id", *GROUP)
 
 
-def _same_group(left: str, right: str) -> Column:
-    """Condition between two aliases; NULL names match."""
-    suite, name = (F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in GROUP)
+def _same_group() -> Column:
+    """Condition between the aliases ``e`` (experiments) and ``g`` (groups); NULL names match."""
+    suite, name = (F.col(f"e.{key}").eqNullSafe(F.col(f"g.{key}")) for key in GROUP)
     return suite & name
 
 
@@ -56,32 +57,6 @@ def _shifts(run: DataFrame) -> list[int]:
     return [max(0, width - DIGIT * (i + 1)) for i in range(max(1, -(-width // DIGIT)))]
 
 
-def _select(counts: str, rank: Column, prefix: Column | None = None) -> Column:
-    """``STRUCT<prefix, rank>``: of sorted ``(…, bin, c)`` the bin that holds the 0-based rank, and the rank in it."""
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("before"),
-        F.lit(None).cast("bigint").alias("found"),
-        F.lit(None).cast("bigint").alias("rank"),
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        upto = acc["before"] + e["c"]
-        here = acc["found"].isNull() & (rank < upto)
-        if prefix is not None:
-            here = here & (e["prefix"] == prefix)
-            upto = F.when(e["prefix"] == prefix, upto).otherwise(acc["before"])
-        return F.struct(
-            upto.alias("before"),
-            F.when(here, e["bin"]).otherwise(acc["found"]).alias("found"),
-            F.when(here, rank - acc["before"]).otherwise(acc["rank"]).alias("rank"),
-        )
-
-    def ended(acc: Column) -> Column:
-        return F.struct(acc["found"].alias("prefix"), acc["rank"].alias("rank"))
-
-    return F.aggregate(counts, start, step, ended)
-
-
 TOTALS = ["lo", "hi", "total", "timed", "runs"]
 
 
@@ -90,12 +65,12 @@ def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
 
     The exact median is found by radix selection. A first look at the least and the greatest time tells
     in which bits times differ at all. The first round counts by the upper DIGIT of them and gives the
-    totals as well; in each group the digits of the two middle ranks are picked from the counts, an array.
-    Every further round reads the runs again, keeps those that begin like a middle rank of their group, and
-    counts them by the next digit. No window runs, and nothing that a group holds is larger than two
-    arrays of counts, whatever its number of runs and the width of their times; times that differ in 24
-    bits take two rounds, 64 bits six. From the third round on the groups are written in between, one
-    row each, so that plans do not grow; the last of these tables stays in the shared folder.
+    totals as well; in each group the running count tells which digits hold the two middle ranks. Every
+    further round reads the runs again, keeps those that begin like a middle rank of their group, and
+    counts them by the next digit. A running count passes over at most 2^DIGIT counts, whatever the number
+    of runs and the width of their times; times that differ in 24 bits take two rounds, 64 bits six. From
+    the third round on the groups are written in between, one row each, so that plans do not grow; the
+    last of these tables stays in the shared folder.
     """
     timed = run.select("experiment_id", F.col("time").cast("bigint").alias("time"))
     first, *later = _shifts(timed)
@@ -103,22 +78,21 @@ def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
         F.min("time").alias("lo"),
         F.max("time").alias("hi"),
         F.sum("time").alias("total"),
-        F.count("time").alias("timed"),
+        F.count("time").alias("c"),
         F.count(F.lit(1)).alias("runs"),
     )
     bins = _join(experiment, by_experiment, suite).groupBy(*GROUP, "bin").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in TOTALS[2:]]
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in ("total", "c", "runs")]
     )
-    known = F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("timed").alias("c")))
-    groups = bins.groupBy(*GROUP).agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in TOTALS[2:]],
-        F.array_sort(F.collect_list(known)).alias("counts"),
+    whole = Window.partitionBy(*GROUP)
+    totals = {"lo": F.min("lo"), "hi": F.max("hi"), "total": F.sum("total"), "timed": F.sum("c"), "runs": F.sum("runs")}
+    ranked = bins.select(
+        *GROUP, "bin", "c", F.sum("c").over(whole.orderBy("bin")).alias("upto"),
+        *[total.over(whole).alias(name) for name, total in totals.items()],
     )
     # 0-based ranks of the two middle elements; equal for an odd count
     lower, upper = F.shiftright(F.col("timed") - 1, 1), F.shiftright("timed", 1)
-    groups = groups.select(
-        *GROUP, *TOTALS, _select("counts", lower).alias("lower"), _select("counts", upper).alias("upper")
-    )
+    groups = _selected(ranked, lower, upper)
     path = None
     for i, (above, shift) in enumerate(zip([first, *later], later)):
         if i:
@@ -131,26 +105,49 @@ def profile(experiment: DataFrame, run: DataFrame, suite: str | None = None) ->
     return groups.select(*GROUP, *TOTALS, ((middle[0] + middle[1]) / 2).alias("median"))
 
 
+def _selected(counted: DataFrame, lower: Column, upper: Column) -> DataFrame:
+    """One row per group: totals, and for each rank the digits that hold it (``prefix``) and the rank among
+    those, from counts ``c`` with running sums ``upto``. A group without times has neither."""
+    before = F.col("upto") - F.col("c")
+
+    def holds(rank: Column) -> Column:
+        return (before <= rank) & (rank < F.col("upto"))
+
+    def place(rank: Column, name: str) -> Column:
+        return F.max(F.when(holds(rank), F.struct(F.col("bin").alias("prefix"), (rank - before).alias("rank")))).alias(name)
+
+    wanted = holds(lower) | holds(upper) | (F.col("timed") == 0)
+    return counted.filter(wanted).groupBy(*GROUP).agg(
+        *[F.max(c).alias(c) for c in TOTALS], place(lower, "lower"), place(upper, "upper")
+    )
+
+
 def _narrowed(
     experiment: DataFrame, timed: DataFrame, groups: DataFrame, suite: str | None, above: int, shift: int
 ) -> DataFrame:
-    """The groups with their middle ranks known down to ``shift``, from those known down to ``above``."""
-    begun = F.explode(F.array_distinct(F.array("lower.prefix", "upper.prefix"))).alias("prefix")
-    wanted = groups.filter("timed > 0").select(*GROUP, begun)
-    ids = _named(experiment, suite).alias("e").join(wanted.alias("w"), _same_group("e", "w")).select(
-        F.col("e.id").alias("experiment_id"), *[f"e.{c}" for c in GROUP], "w.prefix"
+    """The groups with their middle ranks known down to ``shift``, from those known down to ``above``.
+
+    What is known of a group goes to its experiments, and with them to the runs, which meet that table
+    before they are counted. Runs and groups without a time have the prefix NO_TIME.
+    """
+    begun = F.array_distinct(F.array(*[F.coalesce(f"{m}.prefix", F.lit(NO_TIME)) for m in ("lower", "upper")]))
+    wanted = groups.withColumn("prefix", F.explode(begun))
+    ids = _named(experiment, suite).alias("e").join(wanted.alias("g"), _same_group()).select(
+        F.col("e.id").alias("experiment_id"), *[f"e.{c}" for c in GROUP], "g.prefix",
+        *[f"g.{c}" for c in (*TOTALS, "lower", "upper")],
+    )
+    runs = timed.select(
+        "experiment_id", F.coalesce(_prefix(above), F.lit(NO_TIME)).alias("prefix"), _prefix(shift).alias("bin")
     )
-    runs = timed.select("experiment_id", _prefix(above).alias("prefix"), _prefix(shift).alias("bin"))
-    counted = runs.join(ids, ["experiment_id", "prefix"]).groupBy(*GROUP, "prefix", "bin").agg(F.count(F.lit(1)).alias("c"))
-    counts = counted.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("prefix", "bin", "c"))).alias("counts"))
-    met = groups.alias("g").join(counts.alias("n"), _same_group("g", "n"), "left")
-    return met.select(
-        *[F.col(f"g.{c}") for c in [*GROUP, *TOTALS]],
-        *[
-            _select("n.counts", F.col(f"g.{m}.rank"), F.col(f"g.{m}.prefix")).alias(m)
-            for m in ("lower", "upper")
-        ],
+    counted = runs.join(ids, ["experiment_id", "prefix"]).groupBy(*GROUP, "prefix", "bin").agg(
+        F.count(F.lit(1)).alias("c"), *[F.max(c).alias(c) for c in (*TOTALS, "lower", "upper")]
     )
+    upto = F.sum("c").over(Window.partitionBy(*GROUP, "prefix").orderBy("bin"))
+
+    def rank(m: str) -> Column:
+        return F.when(F.col("prefix") == F.col(f"{m}.prefix"), F.col(f"{m}.rank"))
+
+    return _selected(counted.withColumn("upto", upto), rank("lower"), rank("upper"))
 
 
 def summary(experiment: DataFrame, run: DataFrame, suite: str | None = None) -> DataFrame:
