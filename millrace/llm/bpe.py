@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.memo import Memo
-from millrace.llm.vocabulary import ChunkEncoder, broadcast_file, byte_alphabet
+from millrace.llm.vocabulary import ChunkEncoder, broadcast_file, byte_alphabet, once_per_worker
 
+#: Bytes of texts whose ids are handed on together; a longer text is handed on alone.
+OUT_BYTES = 4 << 20
 
 
 def token_bytes(model: str) -> dict[int, bytes]:
@@ -71,6 +73,23 @@ def fragments(data: bytes, cuts) -> list[str]:
     return [text[i:j] for i, j in zip([0, *ends], [*ends, None], strict=True)]
 
 
+class FragmentEncoder(ChunkEncoder):
+    """Little-endian 32-bit ids of whole texts, from remembered fragments."""
+
+    def __init__(self, model: str):
+        super().__init__(model)
+        self.cuts = cut_table(token_bytes(model))
+        self.memo = Memo(self)
+
+    def text(self, data: bytes) -> bytes:
+        return b"".join(self.memo.many(fragments(data, self.cuts)))
+
+
+def bytes_by_id(model: str) -> list[bytes]:
+    table = token_bytes(model)
+    return [table.get(i, b"") for i in range(max(table) + 1)]
+
+
 def encode(
     docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids"
 ) -> DataFrame:
@@ -85,13 +104,24 @@ def encode(
     def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        cuts = cut_table(token_bytes(model.value))
-        memo = Memo(ChunkEncoder(model.value))
-        for batch in batches:
-            parts = [b"".join(memo.many(fragments((t.as_py() or "").encode(), cuts))) for t in batch]
+        encoder = once_per_worker(model, FragmentEncoder)
+
+        def array(parts: list[bytes]) -> pa.Array:
             ends = np.cumsum([0, *map(len, parts)]) // 4
             values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+        for batch in batches:
+            parts, held = [], 0
+            for text in batch:
+                data = (text.as_py() or "").encode()
+                parts.append(encoder.text(data))
+                held += len(data)
+                if held >= OUT_BYTES:
+                    yield array(parts)
+                    parts, held = [], 0
+            if parts:
+                yield array(parts)
 
     udf = F.arrow_udf(encode_batches, T.ArrayType(T.IntegerType()))
     return docs.withColumn(ids_col, udf(F.col(text_col)))
@@ -109,18 +139,22 @@ def decode(
     model = broadcast_file(encoded.sparkSession, vocabulary)
 
     def decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = token_bytes(model.value)
-        known = [table.get(i, b"") for i in range(max(table) + 1)]
+        known = once_per_worker(model, bytes_by_id)
         for batch in batches:
             values = batch.values.fill_null(-1).to_numpy()  # one text's ids at a time become objects
-            ends, out = batch.offsets.to_pylist(), []
+            ends, out, held = batch.offsets.to_pylist(), [], 0
             for valid, i, j in zip(batch.is_valid().to_pylist(), ends, ends[1:], strict=False):
                 part = values[i:j]
                 if j > i and (part.min() < 0 or part.max() >= len(known)):
                     part = part[(part >= 0) & (part < len(known))]
                 data = b"".join(map(known.__getitem__, part.tolist()))
                 out.append(data.decode("utf-8", "replace") if valid else None)
-            yield pa.array(out, pa.string())
+                held += len(data)
+                if held >= OUT_BYTES:
+                    yield pa.array(out, pa.string())
+                    out, held = [], 0
+            if out:
+                yield pa.array(out, pa.string())
 
     udf = F.arrow_udf(decode_batches, T.StringType())
     return encoded.withColumn(text_col, udf(F.col(ids_col)))

@@ -21,11 +21,8 @@ class Memo:
     def many(self, keys: list) -> list:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        found = list(map(self.young.get, keys))
-        if None not in found:
-            return found
         unseen = []
-        for key in {k for k, v in zip(keys, found, strict=True) if v is None}:
+        for key in set(keys).difference(self.young):
             value = self.old.get(key)
             if value is None:
                 unseen.append(key)

@@ -7,12 +7,16 @@ executors need no copy of the file.
 from __future__ import annotations
 
 import array
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 from millrace.llm.memo import Memo
 
+T = TypeVar("T")
+
 #: Strings that one call of the library encodes; it holds some hundred bytes for every token of a call.
 JOINED = 4096
 
@@ -22,6 +26,18 @@ def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def once_per_worker(model: Broadcast, make: Callable[[str], T]) -> T:
+    """What ``make`` builds from the broadcast file, built by a Python worker's first task only.
+
+    Spark keeps a broadcast's object in a worker from task to task, so what is built rests there with all
+    that it remembers; a new worker builds its own.
+    """
+    built = vars(model)
+    if make.__qualname__ not in built:
+        built[make.__qualname__] = make(model.value)
+    return built[make.__qualname__]
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins by which byte-level vocabularies write the 256 bytes."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -45,11 +61,20 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = list(special)
+        self.letter = {b: c for c, b in byte_alphabet().items()}
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def merged(self, word: str) -> bytes:
+        """The ids of what is one word to the library's splitter, by its merging alone; byte-level vocabularies only."""
+        if word.isascii():
+            letters = word.replace(" ", self.letter[0x20])
+        else:
+            letters = "".join(map(self.letter.__getitem__, word.encode()))
+        return _packed([token.id for token in self.tokenizer.model.tokenize(letters)])
+
     def __call__(self, strings: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each string."""
         plain, alone = [], {}
@@ -79,7 +104,6 @@ class WordEncoder(ChunkEncoder):
     def __init__(self, model: str, limit: int = 250_000):
         super().__init__(model)
         self.parts = Memo(self._encoded, limit)
-        self.letter = {b: c for c, b in byte_alphabet().items()}
 
     def __call__(self, strings: list[str]) -> list[bytes]:
         parts, ends = [], []
@@ -99,11 +123,7 @@ class WordEncoder(ChunkEncoder):
     def _encoded(self, parts: list[str]) -> list[bytes]:
         simple = [p.islower() and p.isalpha() and (p.isascii() or _is_latin(p)) for p in parts]
         others = iter(super().__call__([p for p, s in zip(parts, simple, strict=True) if not s]))
-        return [self._word(p) if s else next(others) for p, s in zip(parts, simple, strict=True)]
-
-    def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode()))
-        return _packed([token.id for token in self.tokenizer.model.tokenize(letters)])
+        return [self.merged(p) if s else next(others) for p, s in zip(parts, simple, strict=True)]
 
 
 def _is_latin(word: str) -> bool:
