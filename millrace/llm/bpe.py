@@ -13,6 +13,7 @@ such cuts are used; all others would be certain, too, but only inside a word of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,16 +75,34 @@ def fragments(data: bytes, cuts) -> list[str]:
 
 
 class FragmentEncoder(ChunkEncoder):
-    """Little-endian 32-bit ids of whole texts, from remembered fragments."""
+    """Little-endian 32-bit ids of whole texts, from remembered fragments.
+
+    Most fragments are one word of the library's pattern, letters with at most a space before them. Where
+    the vocabulary neither normalises such a word nor splits it, its merging is all that is needed.
+    """
+
+    #: Letters below U+0180, which every version of Unicode calls letters.
+    WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ſ]+")
 
     def __init__(self, model: str):
         super().__init__(model)
         self.cuts = cut_table(token_bytes(model))
         self.memo = Memo(self)
+        self.direct = self.tokenizer.normalizer is None and all(map(self._whole, (" aÀſ", "Zé")))
+
+    def _whole(self, word: str) -> bool:
+        written = "".join(map(self.letter.__getitem__, word.encode()))
+        splitter = self.tokenizer.pre_tokenizer
+        return splitter is not None and [w for w, _ in splitter.pre_tokenize_str(word)] == [written]
 
     def text(self, data: bytes) -> bytes:
         return b"".join(self.memo.many(fragments(data, self.cuts)))
 
+    def __call__(self, strings: list[str]) -> list[bytes]:
+        words = [self.direct and self.WORD.fullmatch(s) is not None for s in strings]
+        others = iter(super().__call__([s for s, w in zip(strings, words, strict=True) if not w]))
+        return [self.merged(s) if w else next(others) for s, w in zip(strings, words, strict=True)]
+
 
 def bytes_by_id(model: str) -> list[bytes]:
     table = token_bytes(model)
