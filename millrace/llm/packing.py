@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.columns import as_row, of_row
-from millrace.llm.memo import Memo
-from millrace.llm.vocabulary import WordEncoder, broadcast_file
+from millrace.llm.vocabulary import WordEncoder, broadcast_file, once_per_worker
 from millrace.plans.scratch import write_and_read
 
 CAPACITY = 2048
@@ -60,13 +59,12 @@ def token_pieces(
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        memo = Memo(WordEncoder(model.value), limit=250_000)
+        words = once_per_worker(model, WordEncoder)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             counts, starts, lengths, sums, kept = [0], [], [], [], []
             for text in batch:
-                words = (text.as_py() or "").replace("\n", " ").split(" ")
-                ids = b"".join(memo.many(words)) + end
+                ids = words.text(text.as_py() or "") + end
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at : at + 4 * capacity]
                     starts.append(at // 4)

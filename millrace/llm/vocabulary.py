@@ -7,6 +7,7 @@ executors need no copy of the file.
 from __future__ import annotations
 
 import array
+import re
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -101,9 +102,27 @@ class WordEncoder(ChunkEncoder):
     letter and a combining mark, which the library joins with what follows: it goes to the library.
     """
 
+    #: ASCII punctuation, without the apostrophe, between a letter of Latin-1 and the end of a word.
+    CLOSING = re.compile(r"[!-&(-/:-@[-`{-~](?<=[a-zß-öø-ÿ].)[!-&(-/:-@[-`{-~]*(?= |\Z)")
+
     def __init__(self, model: str, limit: int = 250_000):
         super().__init__(model)
         self.parts = Memo(self._encoded, limit)
+        self.strings = Memo(self, limit)
+        self.lowered = [t.lower() for t in self.special]
+
+    def text(self, text: str) -> bytes:
+        """Ids of a whole text.
+
+        One of Latin-1 letters only, which each lower-case by themselves and are in normal form, is put in
+        lower case and parted at once; in any other, and where lower-casing would make a special string,
+        each string between spaces is looked at by itself.
+        """
+        text = text.replace("\n", " ")
+        low = text.lower()
+        if _is_latin_1(text) and not any(t in low for t in self.lowered):
+            return b"".join(self.parts.many(self.CLOSING.sub(r" \g<0>", low).split(" ")))
+        return b"".join(self.strings.many(text.split(" ")))
 
     def __call__(self, strings: list[str]) -> list[bytes]:
         parts, ends = [], []
@@ -131,6 +150,14 @@ def _is_latin(word: str) -> bool:
     return max(word) < "\u0180" and "\u0130" not in word
 
 
+def _is_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _packed(ids: list[int]) -> bytes:
     return array.array("I", ids).tobytes()
 

@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from millrace.llm import bpe, chat, exact_dedup, language_id, line_dedup, near_dedup, packing
-from millrace.llm import quality, queries, token_counts, warc
+from millrace.llm import quality, queries, token_counts, vocabulary, warc
+from millrace.llm.memo import Memo
 
 ODD = [
     None, "", " ", "a", "\n\n", "  a  ", "Ab ab AB", "don't!'s !'s x'll", "<|endoftext|>a<|endoftext|> b",
@@ -157,6 +158,65 @@ def test_cuts_leave_fragments_independent():
     assert cuts.sum() > 1000 and not cuts[ord("t") * 256 + ord("h")]
 
 
+ODD_BITS = [
+    "a", "B", "Word", " PEK\u0130", "\u0130", "\u00e9", " \u00c9", "\u00df", "\u1e9e", "\u00b5", "\u00aa", "\u00ba", "\u00b2", "\u03a3",
+    ".", ",", "!!", "%", "'s", "'S", "'", "\u2019", "1", "12", " ", "  ", "\n", "\t", "\u0085", "\u00a0", "<|endoftext|>", "<|ENDOFTEXT|>", "<|",
+    ")", "-", "\u00ff", "\u0178", "\u017f", "K", "\u0301", " \u00f6", "\u00d7", "\u4e2d", "_", "\U0001f600", "\r", "\ufb01", "\u0149", "'ll",
+]
+
+
+def test_whole_texts_by_words_and_fragments():
+    """Encoders of whole texts against the library, on texts of odd parts, in Latin-1 only and in all letters."""
+    rnd, made = random.Random(29), []
+    for bits in (ODD_BITS, [b for b in ODD_BITS if max(b) < "\u0100"]):
+        made += ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 10))) for _ in range(5000)]
+    for path, make, given in (
+        (queries.WORD_BPE, vocabulary.WordEncoder, str),
+        (queries.BYTE_BPE, bpe.FragmentEncoder, str.encode),
+    ):
+        with open(path, encoding="utf-8") as f:
+            encoder = make(f.read())
+        tokenizer = Tokenizer.from_file(path)
+        for text in made:
+            ids = np.frombuffer(encoder.text(given(text)), "<u4").tolist()
+            assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_are_merged_apart_only_where_the_vocabulary_leaves_them_whole():
+    with open(queries.BYTE_BPE, encoding="utf-8") as f:
+        model = f.read()
+    assert bpe.FragmentEncoder(model).direct
+    lowering = Tokenizer.from_str(model)
+    lowering.normalizer = normalizers.Lowercase()
+    prefixing = Tokenizer.from_str(model)
+    prefixing.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert not any(bpe.FragmentEncoder(t.to_str()).direct for t in (lowering, prefixing))
+
+
+def test_a_memory_forgets_without_a_change_of_results():
+    asked = []
+    memo = Memo(lambda keys: asked.extend(keys) or [k * 2 for k in keys], limit=3)
+    for at in range(40):
+        keys = [f"k{(at * i) % 9}" for i in range(at % 6)]
+        assert memo.many(keys) == [k * 2 for k in keys]
+        assert len(memo.young) + len(memo.old) <= 2 * (3 + 6)
+    assert len(asked) > 9
+
+
+def test_ids_are_handed_on_in_parts_and_encoders_serve_many_tasks(spark, monkeypatch):
+    """Rows stay in order although a batch of texts comes back as several, whatever the task."""
+    monkeypatch.setattr(bpe, "OUT_BYTES", 100)
+    texts = [None, "", "word " * 60, "one", "two, three!", "\u00e9t\u00e9 " * 40, ""] * 20
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tokenizer = Tokenizer.from_file(queries.BYTE_BPE)
+    out = bpe.decode(bpe.encode(docs, queries.BYTE_BPE), queries.BYTE_BPE).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    for r in out:
+        assert r.text == texts[r.doc_id] and r.decoded == (r.text or "")
+        assert r.ids == tokenizer.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_token_counts(odd, empty):
     tokenizer = Tokenizer.from_file(queries.WORD_BPE)
     rows = token_counts.count_tokens(odd, queries.WORD_BPE, limit=20).collect()
