@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.memo import Memo
-from millrace.llm.vocabulary import broadcast_file
+from millrace.llm.vocabulary import broadcast_file, once_per_worker
 
 
 def merge_ranks(model: dict) -> dict[tuple[str, str], int]:
@@ -77,6 +77,7 @@ class WordCounter:
         special = [t["content"] for t in described["added_tokens"]]
         longest_first = sorted(special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if special else None
+        self.memo = Memo(self, limit=400_000)
 
     def __call__(self, strings: list[str]) -> list[int]:
         return [self.count(s) for s in strings]
@@ -123,7 +124,7 @@ def count_tokens(
     model = broadcast_file(docs.sparkSession, vocabulary)
 
     def count_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = Memo(WordCounter(model.value), limit=400_000)
+        memo = once_per_worker(model, WordCounter).memo
         for batch in batches:
             words = ((t.as_py() or "").replace("\n", " ").split(" ") for t in batch)
             yield pa.array([sum(memo.many(w)) for w in words], pa.int64())
