@@ -175,13 +175,15 @@ def standardize_and_hash(
     key: str | None = None,
     missing: str = "token",
     digits: int | None = None,
+    stats: DataFrame | Stats | None = None,
 ) -> DataFrame:
     """The whole preparation job: sample, standardise, hash; returns LibSVM text in ``value``.
 
     A declared row count ``n`` is that of ``df``; the statistics divide by ``n * fraction``, the
     declared size of the sample. With ``key`` the sample depends on row keys only, so the statistics
     and the transformation see the same rows whatever the partitioning; without it Spark's sampler
-    is used, and its sample written once, so that both see the same one.
+    is used, and its sample written once, so that both see the same one. Given ``stats`` (of the same
+    sample) are used as they are.
     """
     if key is not None:
         sampled = sample_poisson(df, key, fraction, seed)
@@ -190,7 +192,7 @@ def standardize_and_hash(
         if fraction != 1.0:
             sampled = write_and_read(sampled, "sample")
     declared = None if n is None else n * fraction
-    ready = prepare(sampled, label, int_cols, cat_cols, num_features, missing, declared)
+    ready = prepare(sampled, label, int_cols, cat_cols, num_features, missing, declared, stats)
     return ready.select(libsvm_line(label, len(int_cols), digits).alias("value"))
 
 

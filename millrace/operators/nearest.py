@@ -34,6 +34,8 @@ CHUNK_BYTES = 64 * 1024 * 1024
 BLOCK = 512
 # Below this part of |x|² + |c|², the short form of a sparse distance is replaced by the exact one.
 CANCELLING = 1e-3
+#: Sparse vectors that store at least this part of their cells are searched as filled tiles.
+MOSTLY_STORED = 0.25
 NEAREST_TYPE = "struct<sqdist:double,cid:int>"
 
 
@@ -286,6 +288,14 @@ class SparseRows:
         val = stored.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]]
         return cls(size, starts - starts[0], idx, val)
 
+    def filled_run(self, lo: int, hi: int, width: int) -> np.ndarray:
+        """The vectors ``lo`` to ``hi`` as a matrix, with one write in a row of cells."""
+        ends = self.starts[lo : hi + 1]
+        x = np.zeros((hi - lo, width))
+        first = np.repeat(np.arange(hi - lo, dtype=np.int64) * width, np.diff(ends))
+        x.reshape(-1)[first + self.idx[ends[0] : ends[-1]]] = self.val[ends[0] : ends[-1]]
+        return x
+
     def filled(self, rows: np.ndarray, width: int) -> np.ndarray:
         """These vectors as a matrix."""
         lengths = self.starts[rows + 1] - self.starts[rows]
@@ -297,7 +307,7 @@ class SparseRows:
 
 
 def search_sparse(rows: SparseRows, model: Centers) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`search` for sparse vectors, touching stored entries only.
+    """As :func:`search` for sparse vectors, touching stored entries only unless most cells are stored.
 
     ``|c|² + Σ x(x - 2c)`` over the stored entries finds the nearest center. A row it cannot decide,
     or whose distance is so small against the squares that cancelling would show, is filled up and
@@ -308,6 +318,12 @@ def search_sparse(rows: SparseRows, model: Centers) -> tuple[np.ndarray, np.ndar
     best, at = np.full(len(size), LARGEST), np.full(len(size), NO_CENTER, np.int64)
     if k == 0:
         return best, at
+    if len(size) and len(val) >= MOSTLY_STORED * len(size) * width:
+        tile = max(LEAST_TILE_ROWS, TILE_CELLS // max(k, width, 1))
+        for lo in range(0, len(size), tile):
+            hi = min(lo + tile, len(size))
+            best[lo:hi], at[lo:hi] = search(rows.filled_run(lo, hi, width), model)
+        return best, at
     with np.errstate(over="ignore", invalid="ignore"):
         x_sq = _row_sums(val * val, starts)
         step = max(1, TILE_CELLS // max(k, int(np.diff(starts).max(initial=1)) * k))
@@ -568,10 +584,13 @@ def add_nearest_sparse(sums: np.ndarray, counts: np.ndarray, rows: SparseRows, m
     """The same for sparse vectors: their stored entries are added one by one."""
     _, at = search_sparse(rows, model)
     known = at != NO_CENTER
-    counts += np.bincount(at[known], minlength=len(counts))
-    cluster = np.repeat(at, np.diff(rows.starts))
-    stored = cluster != NO_CENTER
-    np.add.at(sums, (cluster[stored], rows.idx[stored]), rows.val[stored])
+    cells, val = np.repeat(at * sums.shape[1], np.diff(rows.starts)) + rows.idx, rows.val
+    if not known.all():
+        stored = np.repeat(known, np.diff(rows.starts))
+        at, cells, val = at[known], cells[stored], val[stored]
+    counts += np.bincount(at, minlength=len(counts))
+    # one index an entry: NumPy adds by pairs of them many times slower
+    np.add.at(sums.reshape(-1), cells, val)
 
 
 def _by_dimension(parts: DataFrame) -> DataFrame:

@@ -70,6 +70,13 @@ CLICKLOG_COLUMNS = [
     *[_cat_sql(j) for j in range(1, len(CAT_COLS) + 1)],
 ]
 
+# On Spark the first category passes a `transform`, which has no whole-stage code. As one method the
+# categories are beyond the size that the JVM compiles, and every row would be interpreted; without
+# whole-stage code Spark splits the projection into methods that are compiled.
+_WHOLE = f"ELSE {_CAT_SOURCES[0]} END AS c1"
+_SPLIT = f"ELSE element_at(transform(array({_CAT_SOURCES[0]}), v -> v), 1) END AS c1"
+_LOG_COLUMNS = [c.replace(_WHOLE, _SPLIT) for c in CLICKLOG_COLUMNS]
+
 MISSING_INT = -1_000_000
 
 
@@ -94,7 +101,7 @@ def _init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").drop("ts")
-    return _spread(events, "event_id").selectExpr(*CLICKLOG_COLUMNS)
+    return _spread(events, "event_id").selectExpr(*_LOG_COLUMNS)
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,7 +465,10 @@ def kmeans_lloyd_sparse_blocks(spark, sf_dir):
 
 def kmeans_lloyd_libsvm(spark, sf_dir):
     """Training on prepared lines read back from text; sparse centers, of which stored values are compared."""
-    ready = _prepared(spark, sf_dir)
+    stats = features.column_stats(features.impute_zero(_clicklog(spark, sf_dir), INT_COLS), INT_COLS)
+    # start and lines share the statistics: one row, worked out in one pass
+    stats = spark.createDataFrame(stats.collect(), stats.schema)
+    ready = _prepared(spark, sf_dir, stats=stats)
     entries = features.assemble(len(INT_COLS))
     size = len(INT_COLS) + BUCKETS
     vector = F.struct(
@@ -469,7 +479,9 @@ def kmeans_lloyd_libsvm(spark, sf_dir):
     prepared = ready.select("event_id", entries.alias("entries")).select("event_id", vector.alias("features"))
     init = sampling.initial_centers(prepared, "event_id", K, SEED)
     path = scratch.new_path(spark, "libsvm")
-    lines = features.standardize_and_hash(_clicklog(spark, sf_dir), LABEL, INT_COLS, CAT_COLS, BUCKETS)
+    lines = features.standardize_and_hash(
+        _clicklog(spark, sf_dir), LABEL, INT_COLS, CAT_COLS, BUCKETS, stats=stats
+    )
     libsvm.write_lines(lines, path)
     trained = kmeans.fit_lloyd(libsvm.read_libsvm(spark, path, size), init, ROUNDS)
     stored = libsvm.sparse_entries(trained, "center").filter("val != 0")

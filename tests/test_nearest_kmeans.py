@@ -366,3 +366,30 @@ def test_centers_round_trip_through_long_form(points, init):
     assert packed.keys() == one.keys()
     for cid in one:
         assert packed[cid] == pytest.approx(one[cid])
+
+
+def test_mostly_stored_sparse_points_go_in_filled_tiles(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((700, 29)) < 0.8, rng.integers(-2, 3, (700, 29)).astype(float), 0.0)
+    x[3, 4], x[9, 2], x[11] = np.nan, np.inf, 0.0
+    kept = x != 0
+    starts = np.concatenate(([0], np.cumsum(kept.sum(axis=1))))
+    rows = nearest.SparseRows(np.full(700, 29), starts, np.nonzero(kept)[1].astype(np.int32), x[kept])
+    model = Centers(np.array([2, 5, 6, 9]), np.vstack((x[20], x[20], x[30], np.zeros(29))))
+    searched = []
+    found = nearest.search
+    monkeypatch.setattr(nearest, "search", lambda part, *rest: searched.append(len(part)) or found(part, *rest))
+    best, at = nearest.search_sparse(rows, model)
+    assert sum(searched) == 700
+    exact = ((x[:, None, :] - model.matrix) ** 2).sum(axis=2)
+    exact[[3, 9]] = math.inf
+    lost = np.isin(np.arange(700), [3, 9])
+    assert (at[lost] == nearest.NO_CENTER).all() and (at[~lost] == exact.argmin(axis=1)[~lost]).all()
+    assert (best[~lost] == exact.min(axis=1)[~lost]).all()
+    sums, counts = np.zeros((4, 29)), np.zeros(4, np.int64)
+    nearest.add_nearest_sparse(sums, counts, rows, model)
+    for j in range(4):
+        assert counts[j] == (at == j).sum() and np.allclose(sums[j], x[at == j].sum(axis=0))
+    monkeypatch.setattr(nearest, "MOSTLY_STORED", 2.0)
+    again, same = nearest.search_sparse(rows, model)
+    assert (same == at).all() and np.allclose(again[~lost], best[~lost])

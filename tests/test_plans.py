@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from millrace.operators import kmeans, nearest, runlog, sampling
+from millrace.operators import features, kmeans, nearest, runlog, sampling
 from millrace.plans import table_queries as tq
 
 
@@ -113,3 +113,23 @@ def test_medians_shuffle_counts_only(spark, sf_dir):
 def test_no_query_has_a_product_or_nested_loop(spark, sf_dir, name):
     plan = _plan(entry_module.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_wide_log_is_no_single_method(spark, sf_dir):
+    """As one whole-stage method the categories would be too long for the JVM's compiler."""
+    df = tq.tag_categories(spark, sf_dir)
+    df.collect()
+    plan = _plan(df)
+    made = [line for line in plan[: plan.find("Initial Plan")].splitlines() if "md5(" in line]
+    assert made and not any(re.search(r"\*\(\d+\) *Project", line) for line in made)
+
+
+def test_prepared_lines_take_given_statistics(spark, sf_dir):
+    log = tq._clicklog(spark, sf_dir)
+    stats = features.column_stats(features.impute_zero(log, tq.INT_COLS), tq.INT_COLS)
+    given = spark.createDataFrame(stats.collect(), stats.schema)
+    parts = (log, tq.LABEL, tq.INT_COLS, tq.CAT_COLS, tq.BUCKETS)
+    lines = features.standardize_and_hash(*parts, stats=given)
+    assert _plan(lines).count("FileScan") == 1
+    own = features.standardize_and_hash(*parts)
+    assert sorted(r.value for r in lines.collect()) == sorted(r.value for r in own.collect())
