@@ -152,8 +152,8 @@ def fit_lloyd(
     """Lloyd's algorithm for exactly ``iterations`` rounds from ``init`` ``(cid, center)``.
 
     Returns ``(cid, center, n)``, n being the points that formed the center in the last round. Points
-    are dense or sparse, and so are the centers; those returned have the form of ``init``. Sparse points
-    are never filled up: a task adds their stored entries to its table of sums.
+    are dense or sparse, and so are the centers; those returned have the form of ``init``. Of sparse points
+    at most a tile is filled up: a task adds their stored entries to its table of sums.
 
     - No convergence test; 0 rounds return the initial centers with n NULL.
     - A center that gets no point disappears.

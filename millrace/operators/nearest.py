@@ -319,7 +319,7 @@ def search_sparse(rows: SparseRows, model: Centers) -> tuple[np.ndarray, np.ndar
     if k == 0:
         return best, at
     if len(size) and len(val) >= MOSTLY_STORED * len(size) * width:
-        tile = max(LEAST_TILE_ROWS, TILE_CELLS // max(k, width, 1))
+        tile = max(1, TILE_CELLS // max(1, width))
         for lo in range(0, len(size), tile):
             hi = min(lo + tile, len(size))
             best[lo:hi], at[lo:hi] = search(rows.filled_run(lo, hi, width), model)
@@ -607,7 +607,7 @@ def assigned_sums(points: DataFrame, model: Centers, features: str) -> DataFrame
     """Nearest-center search fused with the sums: ``(cid, block, x, n)`` for blocks of dimensions.
 
     A task sends at most k·d numbers, as arrays. Of sparse points it sends only blocks with a value, and
-    the count of a cluster stands in the row of block ``COUNTS``; the points are never filled up.
+    the count of a cluster stands in the row of block ``COUNTS``; at most a tile of points is filled up.
     """
     k, d = model.matrix.shape
     sparse = vector_kind(points, features) == "sparse"
